@@ -63,7 +63,7 @@ def _split(docs: DataFrame) -> DataFrame:
 def votes(docs: DataFrame) -> DataFrame:
     """Verified spans: k1, k2 (keys of the row), template, first_word, share of the template's K-grams."""
     spark = docs.sparkSession
-    grams = F.expr("transform(slice(w, 1, greatest(size(w) - 2, 0)), (x, i) -> xxhash64(x, get(w, i + 1), get(w, i + 2)))")
+    grams = F.expr("transform(array(w), v -> transform(slice(v, 1, greatest(size(v) - 2, 0)), (x, i) -> xxhash64(x, get(v, i + 1), get(v, i + 2))))[0]")
     rolled = _split(docs).select("k1", "k2", F.posexplode(grams).alias("pos", "gram"))
     hits = rolled.join(F.broadcast(templates(spark)), "gram").withColumn("diagonal", F.col("pos") - F.col("tpos"))
     by_diagonal = hits.groupBy("k1", "k2", "template", "diagonal").agg(F.collect_set("tpos").alias("tposs"), F.max("n_grams").alias("n_grams"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))

@@ -266,9 +266,9 @@ def digest(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs`` without those that are not kept, one row of each group; equal rows of an id are one."""
-    own = _digest(spark, docs).where("kept").select(F.col("doc_id").alias("__d"), "h", F.col("n_shingles").alias("__n")).distinct()
+    own = _digest(spark, docs).where("kept").select(F.col("doc_id").alias("__d"), F.col("h").alias("__own"), F.col("n_shingles").alias("__n")).distinct()
     keyed = docs.withColumn("__h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    on = keyed["doc_id"].eqNullSafe(own["__d"]) & (keyed["__h"] == own["h"])
+    on = keyed["doc_id"].eqNullSafe(own["__d"]) & (keyed["__h"] == own["__own"])
     joined = keyed.join(own, on)
     single = joined.where("__n > 0").dropDuplicates(["doc_id", "__h"])
     return single.select(docs.columns).unionByName(joined.where("__n = 0").select(docs.columns))

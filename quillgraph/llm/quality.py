@@ -36,20 +36,18 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     split = F.filter(F.split(whole, SPACE), lambda w: w != "")
     lines = F.filter(F.split(whole, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    # Hash and place of each window, sorted: equal windows stand side by side.
-    windows = F.expr(
-        "CASE WHEN size(__w) < 4 THEN array() ELSE array_sort(transform(slice(__w, 1, size(__w) - 2), "
-        "(w, i) -> struct(xxhash64(w, get(__w, i + 1), get(__w, i + 2)) AS h, i AS i))) END"
-    )
-    again = F.expr("filter(__s, (x, j) -> x.h = get(__s, j - 1).h OR x.h = get(__s, j + 1).h)")
-    # Words that those windows cover: in order of place, each covers what its predecessor did not.
+    # Hash and place of each window, sorted: equal windows stand side by side. Words that they cover are then counted
+    # in order of place, each window adding what its predecessor did not cover. Arrays that an inner function reads are
+    # bound by transform(array(x), ...): where a filter is pushed below this projection, Spark repeats expressions, and
+    # an array written out within an inner function would be made again for each of its elements.
     covered = F.expr(
-        "aggregate(array_sort(transform(__a, x -> x.i)), struct(0L AS n, -3 AS last), "
-        "(s, i) -> struct(s.n + least(3, i - s.last) AS n, i AS last), s -> s.n)"
+        "transform(array(__w), w -> transform(array(CASE WHEN size(w) < 4 THEN array() ELSE array_sort(transform("
+        "slice(w, 1, size(w) - 2), (x, i) -> struct(xxhash64(x, get(w, i + 1), get(w, i + 2)) AS h, i AS i))) END), "
+        "s -> aggregate(array_sort(transform(filter(s, (x, j) -> x.h = get(s, j - 1).h OR x.h = get(s, j + 1).h), x -> x.i)), "
+        "struct(0L AS n, -3 AS last), (t, i) -> struct(t.n + least(3, i - t.last) AS n, i AS last), t -> t.n))[0])[0]"
     )
     return (
         docs.withColumn("__w", split).withColumn("__l", lines)
-        .withColumn("__s", windows).withColumn("__a", again)
         .withColumns({
             "n_words": F.size("__w").cast("long"),
             "word_chars": F.length(F.array_join("__w", "")).cast("long"),
@@ -59,7 +57,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_repeat_words": covered.cast("long"),
             "n_stop_words": F.size(F.filter("__w", lambda w: w.isin(*STOP_WORDS))).cast("long"),
         })
-        .drop("__w", "__l", "__s", "__a")
+        .drop("__w", "__l")
     )
 
 

@@ -141,7 +141,7 @@ def digest(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for text, found in zip(batch["text"].to_pylist(), batch["findings"].to_pylist(), strict=True):
+        for text, found in zip(batch["text"].to_pylist(), batch["__findings"].to_pylist(), strict=True):
             if text is not None and found:
                 parts, at = [], 0
                 for x in sorted(found, key=lambda x: (x["start"], -x["stop"])):
@@ -150,8 +150,8 @@ def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     at = max(at, x["stop"])
                 text = "".join([*parts, text[at:]])
             out.append(text)
-        columns = {n: batch[n] for n in batch.schema.names if n != "findings"} | {"text": pa.array(out, pa.string())}
-        yield pa.RecordBatch.from_arrays([columns[n] for n in batch.schema.names if n != "findings"], [n for n in batch.schema.names if n != "findings"])
+        columns = {n: batch[n] for n in batch.schema.names if n != "__findings"} | {"text": pa.array(out, pa.string())}
+        yield pa.RecordBatch.from_arrays([columns[n] for n in batch.schema.names if n != "__findings"], [n for n in batch.schema.names if n != "__findings"])
 
 
 def redact(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -159,10 +159,10 @@ def redact(spark: SparkSession, docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "redact")
     versions = docs.select(F.col("doc_id").cast("string").alias("path"), F.lit(0).alias("version"), F.col("text").alias("content"))
     found = scan_versions(spark, versions, f"{scratch.root}/ledger", scratch).where(F.size("findings") > 0)
-    found = scratch.save(found.select("blob", "findings").distinct(), "found")
-    keyed = docs.withColumn("blob", F.sha2(F.coalesce("text", F.lit("")), 256)).join(found, "blob", "left").drop("blob")
+    found = scratch.save(found.select(F.col("blob").alias("__blob"), F.col("findings").alias("__findings")).distinct(), "found")
+    keyed = docs.withColumn("__blob", F.sha2(F.coalesce("text", F.lit("")), 256)).join(found, "__blob", "left").drop("__blob")
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    out = keyed.where(F.col("findings").isNotNull()).mapInArrow(_redact, schema)
+    out = keyed.where(F.col("__findings").isNotNull()).mapInArrow(_redact, schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return keyed.where(F.col("findings").isNull()).select(docs.columns).unionByName(out.select(docs.columns))
+    return keyed.where(F.col("__findings").isNull()).select(docs.columns).unionByName(out.select(docs.columns))
