@@ -73,15 +73,16 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels += batch["toxic"].to_pylist()
     at, w, bias = train([x or "" for x in texts], labels)
     if texts:
-        yield pa.RecordBatch.from_arrays([pa.array([*at.tolist(), -1], pa.int64()), pa.array([*w.tolist(), bias], pa.float64())], ["place", "weight"])
+        columns = [pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([w.tobytes()], pa.binary()), pa.array([bias], pa.float64())]
+        yield pa.RecordBatch.from_arrays(columns, ["places", "weights", "bias"])
 
 
 def held_out() -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(5)) == 0
 
 
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, scratch: Scratch, rows: int = TRAIN_ROWS) -> dict[int, float]:
-    """Weights by place, the bias at -1. One task trains on at most ``rows`` texts."""
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, scratch: Scratch, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray, float | None]:
+    """(places, weights, bias); no bias where no row is labelled. One task trains on at most ``rows`` texts."""
     small_batches(spark)
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # Only labels whose text is there count, so a fixed number of them is enough.
@@ -89,8 +90,10 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, scratch: Scratc
     chosen = there.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(scratch.save(chosen, "chosen")), "doc_id").dropDuplicates(["doc_id"])
     ordered = texts.repartition(1).sortWithinPartitions("h", "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
-    model = scratch.save(ordered.mapInArrow(_train, "place long, weight double"), "weights")
-    return {r[0]: r[1] for r in model.collect()}  # at most 2**BITS + 1 rows
+    model = scratch.save(ordered.mapInArrow(_train, "places binary, weights binary, bias double"), "weights").first()  # at most 12 * 2**BITS bytes
+    if model is None:
+        return np.zeros(0, np.int32), np.zeros(0), None
+    return np.frombuffer(model["places"], np.int32), np.frombuffer(model["weights"], np.float64), model["bias"]
 
 
 def _scorer(weights):
@@ -117,9 +120,7 @@ def scored(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame
     """``docs`` with the column ``score``, which replaces one of that name."""
     scratch = Scratch(spark, "toxicity")
     docs = docs.drop("score")
-    model = fit(spark, docs, labels, scratch)
-    bias = model.pop(-1, None)
-    weights = spark.sparkContext.broadcast((np.array([*model], np.int64), np.array([*model.values()]), bias))
+    weights = spark.sparkContext.broadcast(fit(spark, docs, labels, scratch))
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
     return docs.mapInArrow(_scorer(weights), f"{schema}, score double")
 
