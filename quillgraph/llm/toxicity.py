@@ -25,7 +25,7 @@ from .common import ALNUM, U64, Scratch, chunks, mix, small_batches, words
 
 BITS = 20
 TRAIN_ROWS = 12_000
-PASSES, ALPHA, BETA, L1, L2 = 4, 0.1, 1.0, 0.3, 1.0
+PASSES, ALPHA, BETA, L1, L2, POSITIVE = 8, 1.0, 1.0, 12.0, 1.0, 3.0
 _MASK = U64((1 << BITS) - 1)
 
 
@@ -57,7 +57,7 @@ def train(texts: list[str], labels: list[int]) -> tuple[np.ndarray, np.ndarray,
             zi, ni = z[i], n[i]
             w = np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
             p = 1.0 / (1.0 + np.exp(-np.clip(w.sum(), -35, 35)))
-            g = p - y
+            g = (p - y) * (POSITIVE if y else 1.0)
             more = ni + g * g
             z[i] = zi + g - (np.sqrt(more) - np.sqrt(ni)) / ALPHA * w
             n[i] = more
