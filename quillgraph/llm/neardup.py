@@ -8,8 +8,9 @@ ASCII white space, A-Z lower-cased; fewer words make one shingle; no word, no se
 2. Documents with equal sets form a class; only classes go on, so copies are never expanded.
 3. Every class is compared with the least class of each of its buckets (linear in the bucket).
    Survivors of the likelihood test are verified on whole sets; links join classes to components.
-4. In buckets that still hold several components, blocks of BLOCK members are compared register by
-   register within a task; pairs of different components that pass the test are verified too.
+4. In buckets that still hold several components, blocks of BLOCK members (or BLOCK_SETS shingles) are
+   compared register by register within a task; pairs of different components that pass the test are
+   verified on whole sets there, and only links that join two components leave the task.
 
 The test maximises the joint likelihood of the registers' comparisons (greater, less, equal) given
 both set sizes and drops a pair only if SIMILARITY is exp(SURE) times less likely than the best J.
@@ -36,7 +37,7 @@ from .components import components
 WORDS, PERCENT = 5, 85
 M, ROWS, RADIX, RATE = 96, 4, 1.001, 100.0
 BANDS = M // ROWS
-BLOCK, SURE, SALT = 1024, 18.0, 256
+BLOCK, BLOCK_SETS, STEP, SURE, SALT = 1024, 1 << 19, 256, 18.0, 256
 _rng = np.random.Generator(np.random.PCG64(20240))
 _MUL = _rng.integers(1, 1 << 63, M, dtype=np.uint64) * U64(2) + U64(1)
 _ADD = _rng.integers(0, 1 << 63, M, dtype=np.uint64)
@@ -137,6 +138,13 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out.filter(pa.array(nodes(sets, bounds) == out["node"].to_numpy()))
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets as bytes."""
+    for batch in batches:
+        sets = [x.values.to_numpy().tobytes() for x in batch["set"]]
+        yield pa.RecordBatch.from_arrays([batch["node"], batch["registers"], pa.array(sets, pa.binary())], ["node", "registers", "set"])
+
+
 _GRID = np.append(np.linspace(0.0, 0.98, 50), PERCENT / 100)
 
 
@@ -166,51 +174,66 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members of bucket blocks, sorted by block; yields pairs of different components that pass the test.
+    """Members of bucket blocks, sorted by block; yields links between different components, checked on whole sets.
 
-    A pair is yielded in the first band that it shares only.
+    A pair is looked at in the first band that it shares only. What a link joins counts as one component from then
+    on, so a block yields fewer links than it has members.
     """
-    names = ("key", "i", "j", "side", "node", "component", "n")
     key, rows = None, []
 
-    def pairs() -> pa.RecordBatch:
-        x = {n: np.array([r[n] for r in rows], np.int64) for n in names[3:]}
+    def linked() -> pa.RecordBatch:
+        node, label, n, side = (np.array([r[c] for r in rows], np.int64) for c in ("node", "component", "n", "side"))
         regs = np.frombuffer(b"".join(r["registers"] for r in rows), np.uint16).reshape(-1, M)
-        bands = regs.reshape(len(rows), BANDS, ROWS)
-        band = rows[0]["band"]
-        left, right = (np.flatnonzero(x["side"] == s) for s in ((0, 1) if key[1] != key[2] else (0, 0)))
+        bands, band = regs.reshape(len(rows), BANDS, ROWS), rows[0]["band"]
+        sets = [np.frombuffer(r["set"], U64) for r in rows]
+        own = key[1] == key[2]
+        left, right = (np.flatnonzero(side == x) for x in ((0, 0) if own else (0, 1)))
         out = []
         for k, a in enumerate(left):
-            others = right[k + 1 :] if key[1] == key[2] else right
-            others = others[(x["component"][others] != x["component"][a]) & (100 * np.minimum(x["n"][others], x["n"][a]) >= PERCENT * np.maximum(x["n"][others], x["n"][a]))]
+            others = right[k + 1 :] if own else right
+            others = others[(label[others] != label[a]) & (100 * np.minimum(n[others], n[a]) >= PERCENT * np.maximum(n[others], n[a]))]
             if len(others):
-                ok = possible((regs[a] > regs[others]).sum(1), (regs[a] < regs[others]).sum(1), np.full(len(others), float(x["n"][a])), x["n"][others].astype(float))
-                others = others[ok]
-                earlier = (bands[a, :band] == bands[others, :band]).all(2).any(1)
-                out += [(x["node"][a], x["node"][b], x["n"][a], x["n"][b]) for b in others[~earlier]]
-        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in range(4)], ["a", "b", "na", "nb"])
+                others = others[possible((regs[a] > regs[others]).sum(1), (regs[a] < regs[others]).sum(1), np.full(len(others), float(n[a])), n[others].astype(float))]
+                others = others[~(bands[a, :band] == bands[others, :band]).all(2).any(1)]
+            for i in range(0, len(others), STEP):
+                some = others[i : i + STEP]
+                some = some[label[some] != label[a]]
+                if not len(some):
+                    continue
+                flat = np.concatenate([sets[b] for b in some])
+                hit = sets[a][np.minimum(np.searchsorted(sets[a], flat), n[a] - 1)] == flat
+                shared = np.add.reduceat(hit, np.cumsum(n[some]) - n[some], dtype=np.int64)
+                for b in some[100 * shared >= PERCENT * (n[a] + n[some] - shared)]:
+                    if label[b] != label[a]:
+                        out.append((node[a], node[b]))
+                        label[label == label[b]] = label[a]
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in range(2)], ["u", "v"])
 
     for batch in batches:
         for r in batch.to_pylist():
             if (now := (r["key"], r["i"], r["j"])) != key:
                 if len(rows) > 1:
-                    yield pairs()
+                    yield linked()
                 key, rows = now, []
             rows.append(r)
     if len(rows) > 1:
-        yield pairs()
+        yield linked()
 
 
 PAIR = "a long, b long, na long, nb long"
 
 
+def whole_sets(docs: DataFrame, reps: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, set) of the classes ``nodes``, from the texts of their representatives."""
+    wanted = reps.join(nodes, "node", "left_semi").select("node", F.col("doc_id").alias("__d"))
+    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("__d")).select("node", "text")
+    return scratch.save(texts.mapInArrow(_sets, "node long, set array<long>").dropDuplicates(["node"]), "sets")
+
+
 def verified(spark: SparkSession, docs: DataFrame, reps: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
     """Pairs of classes whose whole sets meet PERCENT. A class with many partners is dealt over copies of its set."""
     degree = pairs.groupBy("b").agg(F.count("*").alias("d"))
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = reps.join(nodes, "node", "left_semi").select("node", F.col("doc_id").alias("__d"), "n")
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("__d")).select("node", "text")
-    sets = scratch.save(texts.mapInArrow(_sets, "node long, set array<long>").dropDuplicates(["node"]), "sets")
+    sets = whole_sets(docs, reps, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), scratch)
     salted = pairs.join(degree, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.expr(f"ceil(d / {SALT})")).cast("int"))
     copies = sets.join(degree.select(F.col("b").alias("node"), "d"), "node").select(F.col("node").alias("b"), F.col("set").alias("sb"), F.explode(F.expr(f"sequence(0, cast(ceil(d / {SALT}) AS int) - 1)")).alias("salt"))
     both = salted.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(copies, ["b", "salt"])
@@ -244,19 +267,21 @@ def clusters(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> tuple[Da
     found = components(links, scratch)
 
     own = grouped.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    own = scratch.save(own.select("key", "band", "node", "component", "pivot"), "placed")
-    left = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo != hi AND size > 2").select("key", "size")
-    parts = F.expr(f"CAST(ceil(size / {BLOCK}) AS int)")
-    open_ = own.where("node != pivot").join(left, "key").withColumn("parts", parts).withColumn("p", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    own = scratch.save(own.join(reps.select("node", "n"), "node").select("key", "band", "node", "n", "component", "pivot"), "placed")
+    left = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.sum("n").alias("total"))
+    parts = F.expr(f"CAST(greatest(ceil(size / {BLOCK}), ceil(total / {BLOCK_SETS})) AS int)").alias("parts")
+    left = left.where("lo != hi AND size > 2").select("key", parts)
+    open_ = scratch.save(own.where("node != pivot").join(left, "key").withColumn("p", F.pmod(F.xxhash64("node"), "parts").cast("int")), "open")
     # Block p meets all blocks: as the left side those from p on, as the right side those before it.
     spread = open_.withColumn("q", F.explode(F.expr("sequence(0, parts - 1)"))).select(
-        "key", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), (F.col("p") > F.col("q")).cast("int").alias("side"), "node", "component", "band"
+        "key", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), (F.col("p") > F.col("q")).cast("int").alias("side"), "node", "component", "band", "n"
     )
-    full = spread.join(reps.select("node", "n", "registers"), "node")
-    dealt = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = scratch.save(dealt.select("key", "i", "j", "side", "node", "component", "n", "registers", "band").mapInArrow(_blocks, PAIR).distinct(), "blocks")
-    rest = verified(spark, docs, reps, more, scratch)
-    return sketch, components(links.select("u", "v").union(rest.select("u", "v")), scratch)
+    sets = whole_sets(docs, reps, open_.select("node").distinct(), scratch)
+    full = reps.select("node", "registers").join(sets.select("node", F.col("set")), "node")
+    packed = full.mapInArrow(_packed, "node long, registers binary, set binary")
+    dealt = spread.join(packed, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    rest = scratch.save(dealt.select("key", "i", "j", "side", "node", "component", "n", "registers", "band", "set").mapInArrow(_blocks, "u long, v long"), "blocks")
+    return sketch, components(links.select("u", "v").union(rest), scratch)
 
 
 def digest(spark: SparkSession, docs: DataFrame) -> DataFrame:
