@@ -281,7 +281,7 @@ def clusters(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> tuple[Da
     packed = full.mapInArrow(_packed, "node long, registers binary, set binary")
     dealt = spread.join(packed, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     rest = scratch.save(dealt.select("key", "i", "j", "side", "node", "component", "n", "registers", "band", "set").mapInArrow(_blocks, "u long, v long"), "blocks")
-    return sketch, components(links.select("u", "v").union(rest), scratch)
+    return sketch, components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(rest), scratch)
 
 
 def digest(spark: SparkSession, docs: DataFrame) -> DataFrame:
