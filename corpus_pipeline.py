@@ -16,7 +16,8 @@ from quillgraph.llm.common import Scratch, table
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score below one half; the model is trained on the labelled ones outside the held-out fifth."""
-    return toxicity.scored(spark, docs, table(spark, sf_dir, "labels")).where(F.col("score") < 0.5).select(docs.columns)
+    found = toxicity.scored(spark, docs, table(spark, sf_dir, "labels"), "__toxicity")
+    return found.where(F.col("__toxicity") < 0.5).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +27,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return decontam.marked(spark, docs, table(spark, sf_dir, "benchmark")).where(~F.col("contaminated")).select(docs.columns)
+    found = decontam.marked(spark, docs, table(spark, sf_dir, "benchmark"), "__contaminated")
+    return found.where(~F.col("__contaminated")).select(docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -96,7 +96,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, scratch: Scratc
     return np.frombuffer(model["places"], np.int32), np.frombuffer(model["weights"], np.float64), model["bias"]
 
 
-def _scorer(weights):
+def _scorer(weights, column: str):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, w, bias = weights.value
         dense = np.zeros(1 << BITS, np.float64)
@@ -111,18 +111,18 @@ def _scorer(weights):
             with np.errstate(over="ignore"):
                 p = 1.0 / (1.0 + np.exp(-np.clip(sums, -700, 700)))
             p[np.isneginf(sums)] = 0.0
-            yield pa.RecordBatch.from_arrays([*(batch[n] for n in batch.schema.names), pa.array(p)], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch[n] for n in batch.schema.names), pa.array(p)], [*batch.schema.names, column])
 
     return score
 
 
-def scored(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with the column ``score``, which replaces one of that name."""
+def scored(spark: SparkSession, docs: DataFrame, labels: DataFrame, column: str = "score") -> DataFrame:
+    """``docs`` with the score as ``column``, which replaces one of that name."""
     scratch = Scratch(spark, "toxicity")
-    docs = docs.drop("score")
+    docs = docs.drop(column)
     weights = spark.sparkContext.broadcast(fit(spark, docs, labels, scratch))
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    return docs.mapInArrow(_scorer(weights), f"{schema}, score double")
+    return docs.mapInArrow(_scorer(weights, column), f"{schema}, `{column}` double")
 
 
 def digest(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
