@@ -1,8 +1,8 @@
 """Pairs of notes that share terms: a set-overlap self-join over an inverted index, in blocks.
 
 A plain self-join on terms makes a row for every pair and shared term and shuffles it, and a term
-in a third of all notes goes to one task. Here notes are dealt into blocks of about BLOCK. Of each
-term and block there is one row with the list of its notes. Rows of a term meet by pairs of blocks;
+in a third of all notes goes to one task. Here notes are dealt into blocks of about BLOCK and
+numbered within them. Of each term and block there is one row with the list of its notes. Rows of a term meet by pairs of blocks;
 those rows, not pairs of notes, are shuffled by (i, j), and a task counts the pairs of its blocks
 with a hash aggregate that needs no further exchange. Frequent terms are dealt over copies: the rows
 of a term are salted by SPREAD blocks, so none of its tasks meets more than SPREAD times its blocks.
@@ -12,6 +12,7 @@ For rare terms the lists hold one note and this is the plain join. The result is
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
@@ -20,21 +21,22 @@ from .links import COOCCURRENCE
 MIN_SHARED, BLOCK, SPREAD = 2, 512, 16
 
 
-def shared_terms(terms: DataFrame, scratch: Scratch, least: int = MIN_SHARED, n_notes: int | None = None, dirty: DataFrame | None = None) -> DataFrame:
+def shared_terms(terms: DataFrame, scratch: Scratch, least: int = MIN_SHARED, dirty: DataFrame | None = None) -> DataFrame:
     """(a, b, shared) for a < b of all pairs that share ``least`` terms or more; of (note_id, term), distinct.
 
     With ``dirty`` (note_id), only pairs with such a note: their notes form parts of their own, and two parts of notes
     that did not move never meet.
     """
-    n = n_notes if n_notes is not None else terms.select("note_id").distinct().count()
-    blocks = max(1, -(-n // BLOCK))
+    names = scratch.save(terms.select("note_id").distinct(), "names")
+    blocks = max(1, -(-names.count() // BLOCK))
     part = F.pmod(F.xxhash64("note_id"), F.lit(blocks))
-    rows = terms
     if dirty is not None:  # odd parts hold what moved
-        rows = terms.join(dirty.select("note_id", F.lit(1).alias("moved")), "note_id", "left")
+        names = names.join(dirty.select("note_id", F.lit(1).alias("moved")), "note_id", "left")
         part = part * 2 + F.coalesce("moved", F.lit(0))
-    placed = rows.select("term", "note_id", part.cast("int").alias("part"))
-    grouped = scratch.save(placed.groupBy("term", "part").agg(F.collect_list("note_id").alias("notes")), "postings")
+    pos = F.row_number().over(W.partitionBy("part").orderBy("note_id"))
+    numbered = scratch.save(names.select("note_id", part.cast("int").alias("part")).withColumn("pos", pos), "numbered")
+    placed = terms.join(numbered, "note_id").select("term", "part", "pos")
+    grouped = scratch.save(placed.groupBy("term", "part").agg(F.collect_list("pos").alias("notes")), "postings")
     of_term = grouped.groupBy("term").agg(F.count("*").alias("n_rows"), F.sum(F.size("notes")).alias("df"), F.max(F.col("part") % 2).alias("odd"))
     met = of_term.where("df > 1" if dirty is None else "df > 1 AND odd = 1").select("term", F.expr(f"CAST(ceil(n_rows / {SPREAD}) AS int)").alias("spread"))
     own = grouped.join(met, "term")
@@ -43,8 +45,12 @@ def shared_terms(terms: DataFrame, scratch: Scratch, least: int = MIN_SHARED, n_
     pairs = left.join(right, ["term", "salt"]).where("i <= j" if dirty is None else "i <= j AND (i % 2 = 1 OR j % 2 = 1)")
     dealt = pairs.select("i", "j", "ns_i", "ns_j").repartition("i", "j")
     each = dealt.select("i", "j", F.explode("ns_i").alias("x"), "ns_j").select("i", "j", "x", F.explode("ns_j").alias("y"))
-    ordered = each.where("i < j OR x < y").select("i", "j", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    return ordered.groupBy("i", "j", "a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least).select("a", "b", "shared")
+    both = each.where("i < j OR x < y").select("i", "j", F.expr("shiftleft(CAST(x AS BIGINT), 32) + y").alias("xy"))
+    counted = both.groupBy("i", "j", "xy").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    coded = counted.select("i", "j", F.expr("CAST(shiftright(xy, 32) AS INT)").alias("x"), F.expr("CAST(xy & 4294967295 AS INT)").alias("y"), "shared")
+    of = lambda p, k, name: numbered.select(F.col("part").alias(p), F.col("pos").alias(k), F.col("note_id").alias(name))
+    named = coded.join(of("i", "x", "m"), ["i", "x"]).join(of("j", "y", "n"), ["j", "y"])
+    return named.select(F.least("m", "n").alias("a"), F.greatest("m", "n").alias("b"), "shared")
 
 
 def edges(pairs: DataFrame) -> DataFrame:

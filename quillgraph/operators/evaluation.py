@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import text as X
 from . import graph
 
 COMPARISON = 10
@@ -71,6 +71,14 @@ def profile(notes: DataFrame, edges: DataFrame, branch: str) -> DataFrame:
     return out.withColumn("touches", F.coalesce("touches", F.create_map().cast("map<string,bigint>")))
 
 
+def listing(touches: DataFrame, most: int = 4) -> DataFrame:
+    """(subject, listed, more): the ``most`` subjects that each touches most, and how many are left out."""
+    order = W.partitionBy("subject").orderBy(F.desc("pairs"), "other")
+    placed = touches.withColumn("k", F.row_number().over(order))
+    shown = F.transform(F.array_sort(F.collect_list(F.when(F.col("k") <= most, F.struct("k", "other")))), lambda x: x["other"])
+    return placed.groupBy("subject").agg(F.array_join(shown, ", ").alias("listed"), F.count_if(F.col("k") > most).alias("more"))
+
+
 def report(attempts: DataFrame) -> DataFrame:
     """One row of counts over attempts (question, verdict, outcome, total, correct, fabricated, seeds, through_edges, agree).
 
@@ -101,6 +109,6 @@ def rates(counts: DataFrame) -> DataFrame:
     )
 
 
-def percent(share: X.Column) -> X.Column:
+def percent(share: Column) -> Column:
     """Whole percents, halves to even."""
     return F.bround(share * 100, 0).cast("long")

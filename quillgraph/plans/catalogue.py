@@ -318,6 +318,11 @@ def reply_citations(spark, sf_dir):
     return out.select("answer_id", "answer", F.size("citations").cast("long").alias("n_citations"), spelled.alias("citations"))
 
 
+@query
+def copied_answers(spark, sf_dir):
+    return fixtures.sentences(spark, sf_dir).select("answer_id", answers.copied(F.col("answer"), F.col("texts")).alias("copied"))
+
+
 def _checked(spark, sf_dir) -> DataFrame:
     return answers.checked(fixtures.citations(spark, sf_dir), fixtures.notes(spark, sf_dir))
 
@@ -356,6 +361,12 @@ def question_proposals(spark, sf_dir):
     return _proposed(spark, sf_dir)[1].withColumn("answers", F.array_join("answers", " "))
 
 
+@query
+def first_proposals(spark, sf_dir):
+    c = linked(spark, sf_dir)
+    return proposals.proposals(c.notes, c.adjacency(links.LINK), limit=20).select("note_id", "pos", "question")
+
+
 @query
 def question_verdicts(spark, sf_dir):
     c, proposed = _proposed(spark, sf_dir)
@@ -374,6 +385,19 @@ def subject_touches(spark, sf_dir):
     return evaluation.subject_touches(evaluation.subjects(c.notes, "branch"), c.links)
 
 
+@query
+def subject_listing(spark, sf_dir):
+    c = linked(spark, sf_dir)
+    return evaluation.listing(evaluation.subject_touches(evaluation.subjects(c.notes, "branch"), c.links))
+
+
+@query
+def kind_shares(spark, sf_dir):
+    kinds = evaluation.by_kind(linked(spark, sf_dir).edges)
+    total = kinds.agg(F.sum("n_edges").alias("total"))
+    return kinds.crossJoin(total).select("kind", evaluation.percent(F.col("n_edges") / F.col("total")).alias("percent"))
+
+
 @query
 def related_notes(spark, sf_dir):
     c = linked(spark, sf_dir)

@@ -50,8 +50,7 @@ class Corpus:
 
     @cached_property
     def cooccurrences(self) -> DataFrame:
-        n = self.notes.count()
-        return self.scratch.save(cooccurrence.edges(cooccurrence.shared_terms(self.content, self.scratch, n_notes=n)), "cooccurrence")
+        return self.scratch.save(cooccurrence.edges(cooccurrence.shared_terms(self.content, self.scratch)), "cooccurrence")
 
     @cached_property
     def edges(self) -> DataFrame:

@@ -94,6 +94,8 @@ TABLES = {
     "judged": "SELECT note_id, pos, question, count(*) AS n_support, count(*) FILTER (note NOT IN (SELECT note_id FROM linked)) AS n_absent, count(*) FILTER (EXISTS (SELECT 1 FROM q_terms t JOIN l_every e ON e.term = t.term WHERE t.note_id = s.note_id AND t.pos = s.pos AND e.note_id = s.note)) AS n_found FROM support s JOIN proposed USING (note_id, pos) GROUP BY ALL",
     "home": "SELECT note_id, split_part(note_id, '/', 1) AS subject FROM linked",
     "across": "SELECT x.subject AS sa, y.subject AS sb FROM links JOIN home x ON x.note_id = a JOIN home y ON y.note_id = b",
+    "touches": "SELECT subject, other, count(*) AS pairs FROM (SELECT sa AS subject, sb AS other FROM across WHERE sa != sb UNION ALL SELECT sb, sa FROM across WHERE sa != sb) GROUP BY subject, other",
+    "said": "SELECT doc_id AS answer_id, text, CASE doc_id % 4 WHEN 1 THEN replace(substr(text, 21, 30), ' ', '  ' || chr(10)) || '..' WHEN 2 THEN substr(text, 21, 30) || ' zzz' WHEN 3 THEN ' . ' ELSE substr(text, 21, 30) END AS answer FROM notes",
     "cited": f"SELECT doc_id // 2 AS answer_id, CASE WHEN doc_id % 5 = 3 THEN 'gone/' || {_PAD.format('doc_id')} ELSE note_id END AS path,"
     f" CASE doc_id % 5 WHEN 1 THEN 'zzz ' || substr(text, 11, 40) WHEN 2 THEN {_PAD.format('doc_id')} || ' ' || substr(text, 11, 40) WHEN 4 THEN replace(substr(text, 11, 40), ' ', ' ' || chr(9) || chr(10) || ' ') ELSE substr(text, 11, 40) END AS quote FROM notes",
     "checked": f"SELECT answer_id, path, quote, CASE WHEN note_id IS NULL THEN 'no such note' WHEN NOT contains({_flat('text')}, {_flat('quote')}) THEN 'not in the note' END AS finding FROM cited LEFT JOIN notes ON note_id = path",
@@ -161,14 +163,18 @@ FINAL = {
     "bm25_search": "SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score, note_id) AS rank FROM bm25",
     "bm25_match_set": "SELECT qid, note_id FROM bm25",
     "reply_citations": "SELECT answer_id, answer, CASE WHEN regexp_replace(lower(trim(answer)), '[.!]+$', '') = 'not in note' THEN 0 ELSE len(c) END AS n_citations, CASE WHEN regexp_replace(lower(trim(answer)), '[.!]+$', '') = 'not in note' THEN '' ELSE array_to_string(c, '|') END AS citations FROM read_replies",
+    "copied_answers": f"SELECT answer_id, said != '' AND contains({_flat('text')}, said) AS copied FROM (SELECT *, regexp_replace({_flat('answer')}, '[.]+\\z', '') AS said FROM said)",
     "citation_check": "SELECT * FROM checked",
     "citation_summary": "SELECT *, total > 0 AND fabricated = 0 AS allowed FROM summed",
     "guard_outcome": "SELECT answer_id, CASE WHEN fabricated = 0 THEN 'answer' WHEN correct > 0 THEN 'parts' ELSE 'thin' END AS outcome FROM summed",
     "fallback_parts": "SELECT answer_id, path, quote FROM checked JOIN summed USING (answer_id) WHERE fabricated > 0 AND finding IS NULL",
     "question_proposals": "SELECT * FROM proposed",
+    "first_proposals": "SELECT note_id, pos, question FROM proposed ORDER BY note_id, pos LIMIT 20",
     "question_verdicts": "SELECT *, CASE WHEN n_support = 0 THEN 'no support' WHEN n_absent > 0 THEN 'support missing' WHEN n_found = n_support THEN 'search finds it' ELSE 'search falls short' END AS reason, CASE WHEN n_support > 0 AND n_absent = 0 AND n_found < n_support THEN 'kept' ELSE 'dropped' END AS verdict FROM judged",
     "subject_counts": "SELECT subject, count(*) AS notes, (SELECT count(*) FROM across WHERE sa = subject AND sb = subject) AS inside FROM home GROUP BY subject",
-    "subject_touches": "SELECT subject, other, count(*) AS pairs FROM (SELECT sa AS subject, sb AS other FROM across WHERE sa != sb UNION ALL SELECT sb, sa FROM across WHERE sa != sb) GROUP BY subject, other",
+    "subject_touches": "SELECT * FROM touches",
+    "subject_listing": "SELECT subject, string_agg(other, ', ' ORDER BY k) FILTER (k <= 4) AS listed, count(*) FILTER (k > 4) AS more FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY pairs DESC, other) AS k FROM touches) GROUP BY subject",
+    "kind_shares": "SELECT kind, CAST(round_even(100.0 * count(*) / (SELECT count(*) FROM l_edges), 0) AS BIGINT) AS percent FROM l_edges GROUP BY kind",
     "related_notes": "SELECT note_id, count(*) AS degree FROM (SELECT unnest([a, b]) AS note_id FROM (SELECT DISTINCT a, b FROM l_edges)) GROUP BY note_id",
     "eval_report": "SELECT * FROM report",
     "eval_rates": "SELECT m AS measured, kept - m AS unasked, round(coalesce(answers / nullif(m, 0), 0), 9) AS answer_rate, round(coalesce(correct / nullif(citations, 0), 0), 9) AS citation_rate, round(coalesce(read_through_edges / nullif(read_from_questions + read_through_edges, 0), 0), 9) AS edge_share, kept >= 10 AS is_a_comparison FROM (SELECT *, answers + parts + refusals AS m FROM report)",

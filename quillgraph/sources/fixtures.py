@@ -89,3 +89,11 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hrefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id, href) of pages."""
     return table(spark, sf_dir, "pages").select("page_id", F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r'href="([^"]*)"'), F.lit(1)))).alias("href"))
+
+
+def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(answer_id, answer, texts): copied with other white space and full stops, altered, and empty, in turn."""
+    k = F.col("doc_id") % 4
+    cut = F.substring("text", 21, 30)
+    answer = F.when(k == 1, F.concat(F.replace(cut, F.lit(" "), F.lit("  \n")), F.lit(".."))).when(k == 2, F.concat(cut, F.lit(" zzz"))).when(k == 3, F.lit(" . ")).otherwise(cut)
+    return notes(spark, sf_dir).select(F.col("doc_id").alias("answer_id"), answer.alias("answer"), F.array(F.lit("another text"), F.col("text")).alias("texts"))
