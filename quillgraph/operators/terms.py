@@ -7,6 +7,7 @@ of the scan, and only words or counts go on.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import stopwords as lists_of
@@ -30,24 +31,32 @@ def vocabulary(notes: DataFrame) -> DataFrame:
     return note_terms(notes).select("term").distinct()
 
 
-def language_scores(words: DataFrame, lists: lists_of.Lists | None = None) -> DataFrame:
-    """(lang, n_found, n_words, score) of languages of which a word occurs; ``words`` is a vocabulary.
+def _covered(words: DataFrame, lists: lists_of.Lists | None) -> DataFrame:
+    """(lang, n): words of the vocabulary in each list, and under no language all of them. The vocabulary is read once.
 
-    The lists are a constant of known size, so they are broadcast; the vocabulary is read once.
+    The lists are a constant of known size, so they are broadcast, a row per word.
     """
-    known = lists_of.table(words.sparkSession, lists)
+    known = lists_of.table(words.sparkSession, lists).groupBy("term").agg(F.collect_list("lang").alias("langs"))
     marked = words.join(F.broadcast(known), "term", "left")
-    # One pass counts words by language and, in the row of no language, those of none; a word of several lists is counted in each.
-    total = words.agg(F.count("*").alias("n_words"))
-    found = marked.where("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("n_found"))
-    return found.crossJoin(F.broadcast(total)).select("lang", "n_found", "n_words", (F.col("n_found") / F.col("n_words")).alias("score"))
+    every = F.concat(F.coalesce("langs", F.array().cast("array<string>")), F.array(F.lit("")))
+    return marked.select(F.explode(every).alias("lang")).groupBy("lang").agg(F.count("*").alias("n"))
+
+
+def _all():
+    """A table of a row per language, seen as one group."""
+    return W.partitionBy(F.lit(1))
+
+
+def language_scores(words: DataFrame, lists: lists_of.Lists | None = None) -> DataFrame:
+    """(lang, n_found, n_words, score) of languages of which a word occurs; ``words`` is a vocabulary."""
+    found = _covered(words, lists).withColumn("n_words", F.max(F.when(F.col("lang") == "", F.col("n"))).over(_all())).where("lang != ''")
+    return found.select("lang", F.col("n").alias("n_found"), "n_words", (F.col("n") / F.col("n_words")).alias("score"))
 
 
 def detected(words: DataFrame, lists: lists_of.Lists | None = None, ratio: int = RATIO) -> DataFrame:
     """(lang): languages that score at least 1 / ratio of the best. A row per language at most."""
-    scores = language_scores(words, lists)
-    best = scores.agg(F.max("n_found").alias("best"))
-    return scores.crossJoin(F.broadcast(best)).where(F.col("n_found") * ratio >= F.col("best")).select("lang")
+    found = _covered(words, lists).where("lang != ''").withColumn("best", F.max("n").over(_all()))
+    return found.where(F.col("n") * ratio >= F.col("best")).select("lang")
 
 
 def stop_terms(words: DataFrame, lists: lists_of.Lists | None = None, ratio: int = RATIO) -> DataFrame:

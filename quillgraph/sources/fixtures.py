@@ -18,13 +18,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer splits than there are cores is dealt out evenly; larger ones stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _name(c):
     return F.format_string("%06d", c)
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(note_id, doc_id, text): the source is the folder."""
-    rows = table(spark, sf_dir, "documents")
+    rows = spread(table(spark, sf_dir, "documents"))
     note_id = F.concat(F.coalesce("source", F.lit("unfiled")), F.lit("/"), _name(F.col("doc_id")), F.lit(".md"))
     return rows.select(note_id.alias("note_id"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
