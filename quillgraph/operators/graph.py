@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
+from .components import connected
 
 #: Rows of adjacency that one task holds: about 50 bytes each for short names.
 LOCAL_ROWS = 1 << 21
@@ -44,7 +45,7 @@ def note_set(notes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def unconnected(notes: DataFrame, edges: DataFrame) -> DataFrame:
     """(note_id) of notes with no edge but to themselves."""
-    ends = edges.where("a != b").select(F.explode(F.array("a", "b")).alias("note_id"))
+    ends = edges.where("a != b").select(F.explode(F.array("a", "b")).alias("note_id")).distinct()  # before the join, so that few rows are shuffled
     return notes.select("note_id").join(ends, "note_id", "left_anti")
 
 
@@ -212,25 +213,14 @@ def paths(found: Reach, scratch: Scratch, local_rows: int = 1 << 16) -> DataFram
 def components(adjacent: DataFrame, scratch: Scratch | None = None, local_rows: int = LOCAL_ROWS) -> DataFrame:
     """(note, component) of all notes with an edge; a component is named by its least note.
 
-    Beyond ``local_rows``, alternating large-star and small-star steps (Kiveris et al., 2014), each an aggregate and a join.
+    Beyond ``local_rows`` by steps over the table of links.
     """
     scratch = scratch or Scratch(adjacent.sparkSession, "components")
     adjacent = scratch.save(adjacent.select("note", "other"), "adjacency")
     if adjacent.count() <= local_rows:
         return scratch.save(_single(adjacent).mapInArrow(_component_task, "note string, component string"), "components")
-    now, before = scratch.save(adjacent.where("note > other").select(F.col("note").alias("u"), F.col("other").alias("v")), "links"), None
-    while True:
-        for large in (True, False):
-            both = now.union(now.select(F.col("v"), F.col("u"))) if large else now
-            least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-            moved = both.join(least, "u")
-            moved = (moved.where("v > u") if large else moved).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-            now = scratch.save((moved if large else moved.union(least.select("u", F.col("m").alias("v")).where("u != v"))).distinct(), "star")
-        sign = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if sign == before:
-            break
-        before = sign
-    return now.select(F.col("u").alias("note"), F.col("v").alias("component")).union(now.select("v", "v")).distinct()
+    links = adjacent.where("note > other").select(F.col("note").alias("u"), F.col("other").alias("v"))
+    return connected(links, scratch).select(F.col("node").alias("note"), "component")
 
 
 def forest(adjacent: DataFrame, scratch: Scratch, local_rows: int = LOCAL_ROWS) -> Reach:

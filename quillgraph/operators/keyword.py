@@ -77,3 +77,18 @@ def match_set(body: DataFrame, asked: DataFrame, normalise: bool = False) -> Dat
     """(qid, note_id): notes that a search of the query would list, without ranking them."""
     wanted = asked.join(_mapped(asked, normalise), "term").select("qid", "key")
     return matches(body, asked, normalise).join(wanted, "key").select("qid", "note_id").distinct()
+
+
+def holding(body: DataFrame, candidates: DataFrame, asked: DataFrame, normalise: bool = False) -> DataFrame:
+    """(qid, note_id): those of the ``candidates`` (qid, note_id) that a search of the query would list.
+
+    Only candidates meet the terms of their query, so a word that many queries and notes share costs no more than they do.
+    """
+    wanted = candidates.join(asked.join(_mapped(asked, normalise), "term").select("qid", "key"), "qid")
+    every = body.select("note_id", F.explode(F.array_distinct("tokens")).alias("term"))
+    keys = wanted.select("key").distinct()
+    if normalise:
+        held = every.join(_mapped(every, True).join(keys, "key", "left_semi"), "term").select("note_id", "key")
+    else:
+        held = every.withColumnRenamed("term", "key").join(keys, "key", "left_semi")
+    return wanted.join(held, ["note_id", "key"], "left_semi").select("qid", "note_id").distinct()

@@ -39,7 +39,14 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(where := self.path(name))
-        return self.spark.read.schema(df.schema).parquet(where)
+        out = self.spark.read.schema(df.schema).parquet(where)
+        out._scratch_path = where
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Deletes saved tables that nothing will read again."""
+        for df in frames:
+            delete(self.spark, df._scratch_path)
 
     def close(self) -> None:
         try:
