@@ -7,10 +7,6 @@ bounds the memory of a Python worker whatever the Arrow batch holds.
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch  # noqa: F401
+
 CHUNK = 1 << 20
 #: Rows of an Arrow batch; with long texts the default of 10,000 would need gigabytes.
 BATCH_ROWS = 500
@@ -35,51 +33,6 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the cluster names none (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='quillgraph-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found if "://" in found else f"file://{os.path.abspath(found)}"
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-class Scratch:
-    """Tables written below the shared folder to cut lineage; all that is left goes when Python ends."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}", 0
-        atexit.register(self.close)
-
-    def path(self, name: str) -> str:
-        self.n += 1
-        return f"{self.root}/{self.n:03d}-{name}"
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(where := self.path(name))
-        out = self.spark.read.schema(df.schema).parquet(where)
-        out._scratch_path = where
-        return out
-
-    def drop(self, *frames: DataFrame) -> None:
-        for df in frames:
-            delete(self.spark, df._scratch_path)
-
-    def close(self) -> None:
-        try:
-            delete(self.spark, self.root)
-        except Exception:  # noqa: BLE001  the session may have ended before
-            pass
-
-
 def text_of(column: str = "text") -> Column:
     """Null texts count as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import connected
 from .common import SPACED, U64, Scratch, chunks, grams, mix, small_batches, words
-from .components import components
 
 WORDS, PERCENT = 5, 85
 M, ROWS, RADIX, RATE = 96, 4, 1.001, 100.0
@@ -52,11 +52,12 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     short = np.flatnonzero((n > 0) & (n < WORDS))
     if len(short):
         single = np.empty(len(short), U64)
-        for k, i in enumerate(short):
-            h = U64(n[i])
-            for w in hashes[first[i] : first[i + 1]]:
-                h = h * U64(0xC2B2AE3D27D4EB4F) + w
-            single[k] = h
+        with np.errstate(over="ignore"):
+            for k, i in enumerate(short):
+                h = U64(n[i])
+                for w in hashes[first[i] : first[i + 1]]:
+                    h = h * U64(0xC2B2AE3D27D4EB4F) + w
+                single[k] = h
         own, text = np.concatenate([own, mix(single)]), np.concatenate([text, short])
         order = np.argsort(text, kind="stable")
         own, text = own[order], text[order]
@@ -264,7 +265,7 @@ def clusters(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> tuple[Da
     sized = star.join(side("a"), "a").join(side("b"), "b").where(near())
     first = scratch.save(sized.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_likely, PAIR), "star")
     links = verified(spark, docs, reps, first, scratch)
-    found = components(links, scratch)
+    found = connected(links, scratch)
 
     own = grouped.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     own = scratch.save(own.join(reps.select("node", "n"), "node").select("key", "band", "node", "n", "component", "pivot"), "placed")
@@ -281,7 +282,7 @@ def clusters(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> tuple[Da
     packed = full.mapInArrow(_packed, "node long, registers binary, set binary")
     dealt = spread.join(packed, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     rest = scratch.save(dealt.select("key", "i", "j", "side", "node", "component", "n", "registers", "band", "set").mapInArrow(_blocks, "u long, v long"), "blocks")
-    return sketch, components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(rest), scratch)
+    return sketch, connected(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(rest), scratch)
 
 
 def digest(spark: SparkSession, docs: DataFrame) -> DataFrame:
