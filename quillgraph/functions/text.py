@@ -14,7 +14,7 @@ MIN_TERM = 3
 #: Unicode white space, and the ends of lines.
 SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
-#: [[target]], [[target|alias]], [[target#heading]] and [label](target).
+#: Fixed values: [[target]], [[target|alias]], [[target#heading]] and [label](target).
 WIKI_LINK = r"\[\[([^\]|#]+)(?:[#|][^\]]*)?\]\]"
 INLINE_LINK = r"\[[^\]]*\]\(([^)]+)\)"
 #: Marks of headings and lists before a line's words, up to the last white space among them or the line's end. Linear in its length.

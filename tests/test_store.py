@@ -101,7 +101,7 @@ def test_refresh_equals_rebuild(spark, tmp_path):
     put(notes, {f"n{i}.md": text() for i in range(10)})
     store = Store(spark, str(tmp_path / "store"), str(notes), LISTS)
     store.refresh()
-    for step in range(4):
+    for step in range(3):
         for _ in range(rng.randint(1, 4)):
             i = rng.randrange(20)
             p = notes / f"n{i}.md"
