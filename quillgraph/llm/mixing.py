@@ -115,7 +115,7 @@ def dealt(spark: SparkSession, sources: DataFrame, scratch: Scratch) -> DataFram
     runs = drawn.select("no", "shard", "first", "n", F.explode(F.expr(f"sequence(0L, (n - 1) div {SHARD_SLOTS})")).alias("run")).repartition("no", "shard", "run")
     lo, hi = f"first + run * {SHARD_SLOTS}", f"first + least(n, (run + 1) * {SHARD_SLOTS}) - 1"
     slots = runs.select("no", "shard", F.explode(F.expr(f"sequence({lo}, {hi})")).alias("slot"))
-    slots = slots.join(F.broadcast(sources.where("slots > 0").select("no", "blocks")), "no")
+    slots = slots.join(sources.where("slots > 0").select("no", "blocks"), "no")  # broadcast by its size, not by a hint
     slots = slots.withColumn("round", F.expr("slot div blocks"))
     return slots.withColumn("block", _round("(slot % blocks)", "blocks", "no", "round")).select("no", "shard", "slot", "round", "block")
 
