@@ -13,8 +13,9 @@ ASCII white space, A-Z lower-cased; fewer words make one shingle; no word, no se
    verified on whole sets there, and only links that join two components leave the task.
 
 The test maximises the joint likelihood of the registers' comparisons (greater, less, equal) given
-both set sizes and drops a pair only if SIMILARITY is exp(SURE) times less likely than the best J.
-At J = 0.85 a pair shares no band with a probability of 2e-8; links within a component that are
+both set sizes and drops a pair only if the least similarity is exp(SURE) times less likely than the best J.
+That similarity is PERCENT unless the caller gives another one. At J = 0.85 a pair shares no band
+with a probability of 2e-8, at 0.8 of 3e-6; links within a component that are
 skipped cannot change the result, which is exact but for that and for collisions of 64-bit hashes.
 
 A null doc_id is never the least id unless its class has no other, then component_id is null and kept
@@ -146,14 +147,14 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["node"], batch["registers"], pa.array(sets, pa.binary())], ["node", "registers", "set"])
 
 
-_GRID = np.append(np.linspace(0.0, 0.98, 50), PERCENT / 100)
+_GRID = np.linspace(0.0, 0.98, 50)
 
 
-def possible(more: np.ndarray, less: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-    """Whether J >= PERCENT / 100 cannot be ruled out, from how many registers of a exceed those of b, and are less."""
+def possible(more: np.ndarray, less: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Whether J >= percent / 100 cannot be ruled out, from how many registers of a exceed those of b, and are less."""
     u, v = n_a / (n_a + n_b), n_b / (n_a + n_b)
     top = np.minimum(n_a / n_b, n_b / n_a)  # no J is greater
-    j = np.minimum(_GRID[None, :], top[:, None])
+    j = np.minimum(np.append(_GRID, percent / 100)[None, :], top[:, None])
     c = (RADIX - 1) / RADIX
     p = lambda x: -np.log1p(-np.clip(x, 1e-12, 1) * c) / np.log(RADIX)
     up, down = p(u[:, None] - v[:, None] * j), p(v[:, None] - u[:, None] * j)
@@ -161,20 +162,20 @@ def possible(more: np.ndarray, less: np.ndarray, n_a: np.ndarray, n_b: np.ndarra
     like = more[:, None] * np.log(up) + less[:, None] * np.log(down) + same[:, None] * np.log(np.clip(1 - up - down, 1e-12, 1))
     best, here = like.max(1), like[:, -1]
     above = like[:, :-1].argmax(1)
-    return (top * 100 >= PERCENT - 1e-9) & ((here >= best - SURE) | (j[np.arange(len(j)), above] >= PERCENT / 100))
+    return (top * 100 >= percent - 1e-9) & ((here >= best - SURE) | (j[np.arange(len(j)), above] >= percent / 100))
 
 
-def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _likely(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs with both registers, to those that pass the test."""
     regs = lambda c: np.frombuffer(b"".join(c.to_pylist()), np.uint16).reshape(-1, M)
     for batch in batches:
         if batch.num_rows:
             a, b = regs(batch["ra"]), regs(batch["rb"])
-            ok = possible((a > b).sum(1), (a < b).sum(1), batch["na"].to_numpy().astype(float), batch["nb"].to_numpy().astype(float))
+            ok = possible((a > b).sum(1), (a < b).sum(1), batch["na"].to_numpy().astype(float), batch["nb"].to_numpy().astype(float), percent)
             yield pa.RecordBatch.from_arrays([batch[n].filter(pa.array(ok)) for n in ("a", "b", "na", "nb")], ["a", "b", "na", "nb"])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Members of bucket blocks, sorted by block; yields links between different components, checked on whole sets.
 
     A pair is looked at in the first band that it shares only. What a link joins counts as one component from then
@@ -192,9 +193,9 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for k, a in enumerate(left):
             others = right[k + 1 :] if own else right
-            others = others[(label[others] != label[a]) & (100 * np.minimum(n[others], n[a]) >= PERCENT * np.maximum(n[others], n[a]))]
+            others = others[(label[others] != label[a]) & (100 * np.minimum(n[others], n[a]) >= percent * np.maximum(n[others], n[a]))]
             if len(others):
-                others = others[possible((regs[a] > regs[others]).sum(1), (regs[a] < regs[others]).sum(1), np.full(len(others), float(n[a])), n[others].astype(float))]
+                others = others[possible((regs[a] > regs[others]).sum(1), (regs[a] < regs[others]).sum(1), np.full(len(others), float(n[a])), n[others].astype(float), percent)]
                 others = others[~(bands[a, :band] == bands[others, :band]).all(2).any(1)]
             for i in range(0, len(others), STEP):
                 some = others[i : i + STEP]
@@ -204,7 +205,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 flat = np.concatenate([sets[b] for b in some])
                 hit = sets[a][np.minimum(np.searchsorted(sets[a], flat), n[a] - 1)] == flat
                 shared = np.add.reduceat(hit, np.cumsum(n[some]) - n[some], dtype=np.int64)
-                for b in some[100 * shared >= PERCENT * (n[a] + n[some] - shared)]:
+                for b in some[100 * shared >= percent * (n[a] + n[some] - shared)]:
                     if label[b] != label[a]:
                         out.append((node[a], node[b]))
                         label[label == label[b]] = label[a]
@@ -231,19 +232,19 @@ def whole_sets(docs: DataFrame, reps: DataFrame, nodes: DataFrame, scratch: Scra
     return scratch.save(texts.mapInArrow(_sets, "node long, set array<long>").dropDuplicates(["node"]), "sets")
 
 
-def verified(spark: SparkSession, docs: DataFrame, reps: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs of classes whose whole sets meet PERCENT. A class with many partners is dealt over copies of its set."""
+def verified(spark: SparkSession, docs: DataFrame, reps: DataFrame, pairs: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
+    """Pairs of classes whose whole sets meet ``percent``. A class with many partners is dealt over copies of its set."""
     degree = pairs.groupBy("b").agg(F.count("*").alias("d"))
     sets = whole_sets(docs, reps, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), scratch)
     salted = pairs.join(degree, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.expr(f"ceil(d / {SALT})")).cast("int"))
     copies = sets.join(degree.select(F.col("b").alias("node"), "d"), "node").select(F.col("node").alias("b"), F.col("set").alias("sb"), F.explode(F.expr(f"sequence(0, cast(ceil(d / {SALT}) AS int) - 1)")).alias("salt"))
     both = salted.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(copies, ["b", "salt"])
     shared = both.select("a", "b", (F.col("na") + F.col("nb")).alias("total"), F.size(F.array_intersect("sa", "sb")).cast("long").alias("shared"))
-    links = shared.where(F.col("shared") * 100 >= (F.col("total") - F.col("shared")) * PERCENT)
+    links = shared.where(F.col("shared") * 100 >= (F.col("total") - F.col("shared")) * percent)
     return scratch.save(links.select(F.col("a").alias("u"), F.col("b").alias("v"), "shared", "total"), "verified")
 
 
-def clusters(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def clusters(spark: SparkSession, docs: DataFrame, scratch: Scratch, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(sketches of all rows, (node, component) of the classes that have a link)."""
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -261,10 +262,10 @@ def clusters(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> tuple[Da
 
     star = grouped.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     side = lambda k: reps.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("registers").alias(f"r{k}"))
-    near = lambda: F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT
+    near = lambda: F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
     sized = star.join(side("a"), "a").join(side("b"), "b").where(near())
-    first = scratch.save(sized.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_likely, PAIR), "star")
-    links = verified(spark, docs, reps, first, scratch)
+    first = scratch.save(sized.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(lambda x: _likely(x, percent), PAIR), "star")
+    links = verified(spark, docs, reps, first, scratch, percent)
     found = connected(links, scratch)
 
     own = grouped.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -281,18 +282,18 @@ def clusters(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> tuple[Da
     full = reps.select("node", "registers").join(sets.select("node", F.col("set")), "node")
     packed = full.mapInArrow(_packed, "node long, registers binary, set binary")
     dealt = spread.join(packed, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    rest = scratch.save(dealt.select("key", "i", "j", "side", "node", "component", "n", "registers", "band", "set").mapInArrow(_blocks, "u long, v long"), "blocks")
+    rest = scratch.save(dealt.select("key", "i", "j", "side", "node", "component", "n", "registers", "band", "set").mapInArrow(lambda x: _blocks(x, percent), "u long, v long"), "blocks")
     return sketch, connected(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(rest), scratch)
 
 
-def digest(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def digest(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links), kept."""
-    return _digest(spark, docs).drop("h")
+    return _digest(spark, docs, percent).drop("h")
 
 
-def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def deduplicated(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` without those that are not kept, one row of each group; equal rows of an id are one."""
-    own = _digest(spark, docs).where("kept").select(F.col("doc_id").alias("__d"), F.col("h").alias("__own"), F.col("n_shingles").alias("__n")).distinct()
+    own = _digest(spark, docs, percent).where("kept").select(F.col("doc_id").alias("__d"), F.col("h").alias("__own"), F.col("n_shingles").alias("__n")).distinct()
     keyed = docs.withColumn("__h", F.xxhash64(F.coalesce("text", F.lit(""))))
     on = keyed["doc_id"].eqNullSafe(own["__d"]) & (keyed["__h"] == own["__own"])
     joined = keyed.join(own, on)
@@ -300,9 +301,9 @@ def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return single.select(docs.columns).unionByName(joined.where("__n = 0").select(docs.columns))
 
 
-def _digest(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def _digest(spark: SparkSession, docs: DataFrame, percent: int) -> DataFrame:
     scratch = Scratch(spark, "neardup")
-    sketch, found = clusters(spark, docs, scratch)
+    sketch, found = clusters(spark, docs, scratch, percent)
     least = sketch.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     of_class = least.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     of_class = scratch.save(of_class, "least")

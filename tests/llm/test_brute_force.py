@@ -177,6 +177,15 @@ def test_near_dedup_at_the_threshold(spark, monkeypatch):
     same(neardup.digest(spark, df), jaccard_components(rows))
 
 
+def test_near_dedup_at_another_threshold(spark):
+    frame = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    rows = [(r["doc_id"], r["text"] or "", None) for r in frame.collect()]
+    want = jaccard_components(rows, 80)
+    assert want != jaccard_components(rows)
+    same(neardup.digest(spark, frame, 80), want)
+    assert {r["doc_id"] for r in neardup.deduplicated(spark, frame, 80).collect()} == {c[0] for c in want if c[3]}
+
+
 def test_near_dedup_keeps_one_of_each(spark, docs):
     out = neardup.deduplicated(spark, docs)
     assert out.columns == docs.columns
