@@ -18,7 +18,7 @@ That similarity is PERCENT unless the caller gives another one. At J = 0.85 a pa
 with a probability of 2e-8, at 0.8 of 3e-6; links within a component that are
 skipped cannot change the result, which is exact but for that and for collisions of 64-bit hashes.
 
-A null doc_id is never the least id unless its class has no other, then component_id is null and kept
+A null doc_id is never the least id unless its component has no other, then component_id is null and kept
 is true. Rows that repeat a doc_id are rows of their own. Other columns are ignored; an empty table
 gives an empty result.
 """
@@ -135,9 +135,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j, data, offsets in chunks(batch["text"]):
             sets, bounds = shingles(data, offsets)
-            out = pa.RecordBatch.from_arrays([batch["node"].slice(i, j - i), _lists(sets, bounds)], ["node", "set"])
-            # Another row may have the same id and another text.
-            yield out.filter(pa.array(nodes(sets, bounds) == out["node"].to_numpy()))
+            yield pa.RecordBatch.from_arrays([batch["node"].slice(i, j - i), _lists(sets, bounds)], ["node", "set"])
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,8 +225,11 @@ PAIR = "a long, b long, na long, nb long"
 
 def whole_sets(docs: DataFrame, reps: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, set) of the classes ``nodes``, from the texts of their representatives."""
-    wanted = reps.join(nodes, "node", "left_semi").select("node", F.col("doc_id").alias("__d"))
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("__d")).select("node", "text")
+    wanted = reps.join(nodes, "node", "left_semi").select("node", "doc_id", "h")
+    known = docs.join(wanted, ["doc_id", "h"]).select("node", "text")
+    # Rows without an id meet by text, one of each, so that many copies do not meet in one task.
+    unknown = docs.where("doc_id IS NULL").select("h", "text").dropDuplicates(["h"])
+    texts = known.unionByName(unknown.join(wanted.where("doc_id IS NULL"), "h").select("node", "text"))
     return scratch.save(texts.mapInArrow(_sets, "node long, set array<long>").dropDuplicates(["node"]), "sets")
 
 
@@ -250,10 +251,11 @@ def clusters(spark: SparkSession, docs: DataFrame, scratch: Scratch, percent: in
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("h", F.xxhash64("text"))
     sketch = scratch.save(docs.select("doc_id", "h", "text").mapInArrow(_sketch, SKETCH), "sketches")
-    # The representative of a class is its least id; payloads are then fetched by id, which is spread evenly.
-    # A class without any known id stands for itself only: its rows have equal sets, and links need an id to fetch the text.
+    # The representative of a class is a row of its least id; payloads are then fetched by id and text, which are spread evenly.
+    # A class without any known id is represented by any of its rows.
     least = sketch.where("n > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    reps = scratch.save(sketch.join(least, ["node", "doc_id"]).dropDuplicates(["node"]), "classes")
+    unknown = sketch.where("n > 0 AND doc_id IS NULL").dropDuplicates(["node"]).join(least, "node", "left_anti")
+    reps = scratch.save(sketch.join(least, ["node", "doc_id"]).dropDuplicates(["node"]).unionByName(unknown), "classes")
     members = scratch.save(reps.select("node", F.posexplode("bands").alias("band", "key")), "bands")
     buckets = members.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("rows")).where("rows > 1")
     buckets = scratch.save(buckets, "buckets")

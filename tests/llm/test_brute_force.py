@@ -186,6 +186,22 @@ def test_near_dedup_at_another_threshold(spark):
     assert {r["doc_id"] for r in neardup.deduplicated(spark, frame, 80).collect()} == {c[0] for c in want if c[3]}
 
 
+def changed(words, *places):
+    return " ".join(f"other{i}" if i in places else w for i, w in enumerate(words))
+
+
+def test_near_dedup_of_rows_without_id(spark):
+    a, b, c = ([f"{x}{i}" for i in range(300)] for x in "abc")
+    rows = [
+        (1, changed(a)), (None, changed(a, 50)),  # a near copy of a known document
+        (2, changed(b, 50, 100, 150, 200)), (None, changed(b)), (None, changed(b)), (3, changed(b, 75, 125, 175, 225)),  # two that only the one without id joins
+        (None, changed(c)), (None, changed(c, 50)), (None, None),
+    ]
+    want = jaccard_components([(i, t or "", None) for i, t in rows])
+    assert [x[2] for x in want] == [1, 1, 2, 2, 2, 2, None, None, None]
+    same(neardup.digest(spark, spark.createDataFrame(rows, "doc_id long, text string")), want)
+
+
 def test_near_dedup_keeps_one_of_each(spark, docs):
     out = neardup.deduplicated(spark, docs)
     assert out.columns == docs.columns
