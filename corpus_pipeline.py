@@ -26,8 +26,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    found = decontam.marked(spark, docs, table(spark, sf_dir, "benchmark"), "__contaminated")
+    """Documents that hold no benchmark item and are not most of one."""
+    found = decontam.marked(spark, docs, table(spark, sf_dir, "benchmark"), "__contaminated", whole=True)
     return found.where(~F.col("__contaminated")).select(docs.columns)
 
 

@@ -10,7 +10,7 @@ from .oracle import ORACLE_SQL  # noqa: F401
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.matches(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.matches(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), whole=True)
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

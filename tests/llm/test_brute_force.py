@@ -239,6 +239,32 @@ def test_decontamination(spark, docs):
     assert flagged == {d for d, i in want if i != 902}
 
 
+def test_decontamination_of_texts_shorter_than_the_item(spark, tmp_path):
+    from corpus_pipeline import drop_contaminated
+    from quillgraph.llm import queries
+
+    items = {r["item_id"]: r["text"].split() for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    items[900] = ("to and fro " * 8 + "end").split()
+    rows = [(10 * i + cut, " ".join(w[at : len(w) - cut + at])) for i, w in items.items() for cut, at in ((1, 0), (3, 1), (6, 0), (9, 4))]
+    rows += [(-1, "to and fro " * 8), (-2, "to and"), (-3, None), (-4, " ".join(reversed(items[0])))]
+    for name, data, schema in (("documents", rows, "doc_id long, text string"), ("benchmark", [(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")):
+        spark.createDataFrame(data, schema).repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    bags = lambda t: Counter(zip(*(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())[k:] for k in range(5)), strict=False))
+    want = {}
+    for i, t in rows:
+        own = bags(t)
+        for item, w in items.items():
+            mine = bags(" ".join(w))
+            if 0 < own.total() < mine.total() and 100 * (own & mine).total() >= 80 * (own | mine).total():
+                want[i, item] = round((own & mine).total() / (own | mine).total(), 9)
+    out = queries.op1_decontamination(spark, str(tmp_path)).collect()
+    size = {i: bags(t).total() for i, t in rows}
+    short = {(r["doc_id"], r["item_id"]): round(r["similarity"], 9) for r in out if size[r["doc_id"]] < bags(" ".join(items[r["item_id"]])).total()}
+    assert short == want and len(want) > 2 * len(items)
+    kept = {r["doc_id"] for r in drop_contaminated(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()}
+    assert kept == {i for i, _ in rows} - {r["doc_id"] for r in out} and {-2, -3, -4} <= kept
+
+
 def test_decontamination_without_items(spark, docs):
     assert decontam.matches(spark, docs, spark.createDataFrame([], "item_id long, text string")).isEmpty()
 
