@@ -157,6 +157,12 @@ def unconnected_notes(spark, sf_dir):
     return graph.unconnected(c.notes, c.links)
 
 
+@query
+def unconnected_notes_all(spark, sf_dir):
+    c = plain(spark, sf_dir)
+    return graph.unconnected(c.notes, c.edges)
+
+
 @query
 def adjacency_degree(spark, sf_dir):
     return graph.degrees(linked(spark, sf_dir).adjacency(links.LINK))
@@ -391,6 +397,24 @@ def subject_listing(spark, sf_dir):
     return evaluation.listing(evaluation.subject_touches(evaluation.subjects(c.notes, "branch"), c.links))
 
 
+@query
+def subject_counts_all(spark, sf_dir):
+    c = linked(spark, sf_dir)
+    return evaluation.subject_counts(evaluation.subjects(c.notes, "branch"), c.edges)
+
+
+@query
+def subject_touches_all(spark, sf_dir):
+    c = linked(spark, sf_dir)
+    return evaluation.subject_touches(evaluation.subjects(c.notes, "branch"), c.edges)
+
+
+@query
+def subject_listing_all(spark, sf_dir):
+    c = linked(spark, sf_dir)
+    return evaluation.listing(evaluation.subject_touches(evaluation.subjects(c.notes, "branch"), c.edges))
+
+
 @query
 def kind_shares(spark, sf_dir):
     kinds = evaluation.by_kind(linked(spark, sf_dir).edges)

@@ -95,6 +95,8 @@ TABLES = {
     "home": "SELECT note_id, split_part(note_id, '/', 1) AS subject FROM linked",
     "across": "SELECT x.subject AS sa, y.subject AS sb FROM links JOIN home x ON x.note_id = a JOIN home y ON y.note_id = b",
     "touches": "SELECT subject, other, count(*) AS pairs FROM (SELECT sa AS subject, sb AS other FROM across WHERE sa != sb UNION ALL SELECT sb, sa FROM across WHERE sa != sb) GROUP BY subject, other",
+    "across_all": "SELECT x.subject AS sa, y.subject AS sb FROM (SELECT DISTINCT a, b FROM l_edges) JOIN home x ON x.note_id = a JOIN home y ON y.note_id = b",
+    "touches_all": "SELECT subject, other, count(*) AS pairs FROM (SELECT sa AS subject, sb AS other FROM across_all WHERE sa != sb UNION ALL SELECT sb, sa FROM across_all WHERE sa != sb) GROUP BY subject, other",
     "said": "SELECT doc_id AS answer_id, text, CASE doc_id % 4 WHEN 1 THEN replace(substr(text, 21, 30), ' ', '  ' || chr(10)) || '..' WHEN 2 THEN substr(text, 21, 30) || ' zzz' WHEN 3 THEN ' . ' ELSE substr(text, 21, 30) END AS answer FROM notes",
     "cited": f"SELECT doc_id // 2 AS answer_id, CASE WHEN doc_id % 5 = 3 THEN 'gone/' || {_PAD.format('doc_id')} ELSE note_id END AS path,"
     f" CASE doc_id % 5 WHEN 1 THEN 'zzz ' || substr(text, 11, 40) WHEN 2 THEN {_PAD.format('doc_id')} || ' ' || substr(text, 11, 40) WHEN 4 THEN replace(substr(text, 11, 40), ' ', ' ' || chr(9) || chr(10) || ' ') ELSE substr(text, 11, 40) END AS quote FROM notes",
@@ -139,6 +141,7 @@ FINAL = {
     "graph_metrics": "SELECT (SELECT count(*) FROM linked) AS notes, (SELECT count(*) FROM l_edges) AS edges, p AS pairs, round(2 * p / (SELECT count(*) FROM linked), 9) AS density, c AS connected, (SELECT count(*) FROM linked) - c AS unconnected"
     " FROM (SELECT count(*) AS p FROM (SELECT DISTINCT a, b FROM l_edges)), (SELECT count(DISTINCT n) AS c FROM (SELECT unnest([a, b]) AS n FROM l_edges))",
     "unconnected_notes": "SELECT note_id FROM notes",
+    "unconnected_notes_all": "SELECT note_id FROM notes WHERE note_id NOT IN (SELECT unnest([a, b]) FROM pairs)",
     "adjacency_degree": "SELECT note, count(*) AS degree FROM adj GROUP BY note",
     "stage_filter_link": "SELECT * FROM links",
     "stage_filter_similarity": "SELECT * FROM links WHERE kind = 'similarity'",
@@ -174,6 +177,9 @@ FINAL = {
     "subject_counts": "SELECT subject, count(*) AS notes, (SELECT count(*) FROM across WHERE sa = subject AND sb = subject) AS inside FROM home GROUP BY subject",
     "subject_touches": "SELECT * FROM touches",
     "subject_listing": "SELECT subject, string_agg(other, ', ' ORDER BY k) FILTER (k <= 4) AS listed, count(*) FILTER (k > 4) AS more FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY pairs DESC, other) AS k FROM touches) GROUP BY subject",
+    "subject_counts_all": "SELECT subject, count(*) AS notes, (SELECT count(*) FROM across_all WHERE sa = subject AND sb = subject) AS inside FROM home GROUP BY subject",
+    "subject_touches_all": "SELECT * FROM touches_all",
+    "subject_listing_all": "SELECT subject, string_agg(other, ', ' ORDER BY k) FILTER (k <= 4) AS listed, count(*) FILTER (k > 4) AS more FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY pairs DESC, other) AS k FROM touches_all) GROUP BY subject",
     "kind_shares": "SELECT kind, CAST(round_even(100.0 * count(*) / (SELECT count(*) FROM l_edges), 0) AS BIGINT) AS percent FROM l_edges GROUP BY kind",
     "related_notes": "SELECT note_id, count(*) AS degree FROM (SELECT unnest([a, b]) AS note_id FROM (SELECT DISTINCT a, b FROM l_edges)) GROUP BY note_id",
     "eval_report": "SELECT * FROM report",
