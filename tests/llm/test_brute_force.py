@@ -265,6 +265,15 @@ def test_decontamination_of_texts_shorter_than_the_item(spark, tmp_path):
     assert kept == {i for i, _ in rows} - {r["doc_id"] for r in out} and {-2, -3, -4} <= kept
 
 
+def test_decontamination_by_items_without_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(20)) for x in "abc")
+    bench = spark.createDataFrame([(None, a), (None, b), (7, b.upper()), (7, c), (None, None)], "item_id long, text string")
+    own = spark.createDataFrame([(1, f"x {a} y"), (2, f"{b} {c}"), (3, f"{c} z"), (4, "x y z")], "doc_id long, text string")
+    got = Counter((r["doc_id"], r["item_id"], r["n_items"], r["first_word"]) for r in decontam.matches(spark, own, bench).collect())
+    assert got == Counter([(1, None, 1, 1), (2, 7, 2, 0), (2, 7, 1, 20), (3, 7, 1, 0)])
+    assert {r["doc_id"] for r in decontam.marked(spark, own, bench).where("contaminated").collect()} == {1, 2, 3}
+
+
 def test_decontamination_without_items(spark, docs):
     assert decontam.matches(spark, docs, spark.createDataFrame([], "item_id long, text string")).isEmpty()
 
