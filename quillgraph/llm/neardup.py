@@ -290,12 +290,15 @@ def clusters(spark: SparkSession, docs: DataFrame, scratch: Scratch, percent: in
 
 def digest(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links), kept."""
-    return _digest(spark, docs, percent).drop("h")
+    return _digest(spark, docs, percent).drop("h", "component")
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``docs`` without those that are not kept, one row of each group; equal rows of an id are one."""
-    own = _digest(spark, docs, percent).where("kept").select(F.col("doc_id").alias("__d"), F.col("h").alias("__own"), F.col("n_shingles").alias("__n")).distinct()
+    """One row of each group of ``docs``: of those with its least id, the text with the least hash. Rows without a word stay."""
+    kept = _digest(spark, docs, percent).where("kept").select(F.col("doc_id").alias("__d"), F.col("h").alias("__own"), F.col("n_shingles").alias("__n"), "component")
+    # All kept rows of a component have one id, or none has any.
+    one = kept.where("__n > 0").groupBy("component").agg(F.min("__d").alias("__d"), F.min("__own").alias("__own"), F.max("__n").alias("__n")).drop("component")
+    own = one.unionByName(kept.where("__n = 0").drop("component").distinct())
     keyed = docs.withColumn("__h", F.xxhash64(F.coalesce("text", F.lit(""))))
     on = keyed["doc_id"].eqNullSafe(own["__d"]) & (keyed["__h"] == own["__own"])
     joined = keyed.join(own, on)
@@ -310,8 +313,8 @@ def _digest(spark: SparkSession, docs: DataFrame, percent: int) -> DataFrame:
     of_class = least.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     of_class = scratch.save(of_class, "least")
     joined = of_class.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_class = of_class.join(joined, "component").select("node", "component_id")
+    by_class = of_class.join(joined, "component").select("node", "component_id", "component")
     rows = sketch.select("doc_id", "h", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node"))
     some = rows.where("node IS NOT NULL").join(by_class, "node").drop("node")
-    none = rows.where("node IS NULL").drop("node").withColumn("component_id", F.col("doc_id"))
+    none = rows.where("node IS NULL").drop("node").withColumns({"component_id": F.col("doc_id"), "component": F.lit(None).cast("long")})
     return some.unionByName(none).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -202,6 +202,14 @@ def test_near_dedup_of_rows_without_id(spark):
     same(neardup.digest(spark, spark.createDataFrame(rows, "doc_id long, text string")), want)
 
 
+def test_near_dedup_leaves_one_row_of_a_group(spark):
+    a, b, c = ([f"{x}{i}" for i in range(300)] for x in "abc")
+    rows = [(1, changed(a)), (1, changed(a, 50)), (1, changed(a, 50)), (2, changed(a, 100)), (None, changed(b)), (None, changed(b, 50)), (None, changed(c)), (None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = [(r["doc_id"], (r["text"] or "")[:1]) for r in neardup.deduplicated(spark, df).collect()]
+    assert Counter(out) == Counter([(1, "a"), (None, "b"), (None, "c"), (None, ""), (None, "")])
+
+
 def test_near_dedup_keeps_one_of_each(spark, docs):
     out = neardup.deduplicated(spark, docs)
     assert out.columns == docs.columns
