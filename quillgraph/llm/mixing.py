@@ -1,28 +1,38 @@
 """Mixing sources to target weights.
 
 Each source's tokens, in a fixed order of its documents, are packed into blocks of BLOCK tokens.
-Every source gets a number of slots (its target divided by BLOCK), which are dealt to output shards
-by multinomial draws conditional on those totals, so that the mix meets its targets and not only in
-the mean. The j-th slot of a source takes block perm(j mod n) of its n blocks, where perm is a
-pseudorandom permutation per source and round; slots and blocks are joined by index.
+Every source gets a number of slots (its target divided by BLOCK). Each slot draws its output shard by
+a keyed hash, so a source's counts per shard are multinomial, conditional on the source's slots: the
+mix meets its targets and not only in the mean, and no table of sources by shards is ever made. The
+j-th slot of a source takes block perm(j mod n) of its n blocks, where perm is a pseudorandom
+permutation per source and round (swap-or-not, Hoang, Morris and Rogaway 2012); slots and blocks are
+joined by index. Slots are dealt in runs over tasks, SLOTS_PER_TASK each.
 
 Sources are ordered by code point, null last, with weights 5, 2, 1 repeating. A target stops at
 CAP times its source's size; the excess is shared again by weight until none is above. A null text
-has size 0. Rows with a null or repeated doc_id each count (ordered by id, size, hash of the text).
-Reruns agree, whatever the partitioning. Other columns are carried by ``taken``; an empty table
-gives an empty result.
+has size 0. Rows with a null or repeated doc_id each count, in order of id, size and hash of the text;
+rows that are equal in all three are told apart by their place in it alone. A text of any length is
+packed whole, as a range of blocks. Reruns agree, whatever the partitioning. An empty table gives an
+empty result. ``taken`` carries the other columns, but for those named size, source_size, target and
+taken, which its own replace.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import U64, Scratch, mix
 
-WEIGHTS, CAP, BLOCK, SHARD_SLOTS, MAX_SHARDS, BUCKET_ROWS, SEED = (5, 2, 1), 3, 64, 1 << 16, 10_000, 4096, 17
+WEIGHTS, CAP, BLOCK, SHARD_SLOTS, BUCKET_ROWS, SEED, ROUNDS = (5, 2, 1), 3, 64, 1 << 16, 4096, 17, 12
+#: Slots of a run, the unit that is dealt to tasks, and of a task.
+RUN, SLOTS_PER_TASK = 1 << 13, 1 << 16
+SLOT = "no int, shard long, slot long, round long, block long"
 TOKEN = r"[^\x20\x09-\x0D]+"
 
 
@@ -47,19 +57,23 @@ def targets(sources: DataFrame, scratch: Scratch) -> DataFrame:
     return ranked.withColumn("target", F.least(F.col("weight") * F.lit(float(share)), limit))
 
 
-def _round(j: str, n: str, no: str, epoch: str) -> F.Column:
-    """perm(j) in [0, n): three steps x -> (a x + b) mod n with a prime that does not divide n, and a swap of halves.
+def _keyed(*parts: np.ndarray | int) -> np.ndarray:
+    """A hash of numbers, by place."""
+    h = np.full(1, U64(SEED))
+    for k, x in enumerate(parts):
+        h = mix(h * U64(0x9E3779B97F4A7C15) + np.asarray(x).astype(np.int64).view(U64) + U64(k))
+    return h
+
 
-    Each step is a bijection, so every block is taken once a round.
-    """
-    x = f"CAST({j} AS DECIMAL(38, 0))"
-    for k, prime in enumerate((2147483647, 1000000007, 998244353)):
-        shift = f"pmod(xxhash64({no}, {epoch}, {k}, {SEED}), {n})"
-        a = f"CAST(CASE WHEN {n} % {prime} = 0 THEN 1 ELSE {prime} END AS DECIMAL(38, 0))"
-        x = f"CAST(((({x}) * {a}) + {shift}) % {n} AS DECIMAL(38, 0))"
-        if k < 2:  # reversal within the odd or even places keeps this from being one affine map
-            x = f"(CASE WHEN ({x}) % 2 = 0 THEN ({x}) ELSE CAST(2 * ({n} div 2) - ({x}) AS DECIMAL(38, 0)) END)"
-    return F.expr(f"CAST({x} AS BIGINT)")
+def permuted(j: np.ndarray, n: int, no: int, epoch: np.ndarray | int) -> np.ndarray:
+    """perm(j) in [0, n) for a source and round. Every step swaps x and key - x, or not, for both alike: a bijection, in 64 bits."""
+    x = np.asarray(j, np.int64)
+    for k in range(ROUNDS):
+        key = (_keyed(no, epoch, k) % U64(n)).astype(np.int64)
+        other = (key - x) % n
+        swap = _keyed(no, epoch, k, np.maximum(x, other)) & U64(1) == 1
+        x = np.where(swap, other, x)
+    return x
 
 
 def plan(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -78,7 +92,7 @@ def plan(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> tuple[DataFr
     sources = scratch.save(sources.withColumn("slots", slots), "targets")
     # First token of each document in its source, in two levels, so that a hot source is dealt over its buckets.
     keyed = rows.join(sources.select(F.col("source").alias("s"), "no", "buckets", "source_size", "target"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    keyed = keyed.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size"), F.col("buckets")))
+    keyed = keyed.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", "h"), F.col("buckets")))
     order = [F.col("doc_id").asc_nulls_first(), "size", "h"]
     of_bucket = keyed.groupBy("no", "bucket").agg(F.sum("size").alias("n"))
     before = W.partitionBy("no").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -86,38 +100,36 @@ def plan(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> tuple[DataFr
     within = W.partitionBy("no", "bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     placed = keyed.withColumn("within", F.coalesce(F.sum("size").over(within), F.lit(0))).join(base, ["no", "bucket"])
     placed = scratch.save(placed.select("doc_id", "source", "no", "size", "h", "source_size", "target", (F.col("base") + F.col("within")).alias("start")), "placed")
-    return placed, sources, dealt(spark, sources, scratch)
-
-
-def shard_counts(slots: list[int], shards: int, seed: int = SEED) -> np.ndarray:
-    """Slots of each source in each shard: multinomial draws conditional on the sources' totals."""
-    rng, left, out = np.random.Generator(np.random.PCG64(seed)), np.array(slots, np.int64), []
-    for k in range(shards):
-        want = -(-int(left.sum()) // (shards - k))
-        got, need, rest = np.zeros(len(left), np.int64), want, int(left.sum())
-        for i, n in enumerate(left):
-            rest -= int(n)
-            got[i] = rng.hypergeometric(int(n), rest, need) if need and n else 0
-            need -= int(got[i])
-        out.append(got)
-        left -= got
-    return np.array(out).reshape(shards, len(slots))
-
-
-def dealt(spark: SparkSession, sources: DataFrame, scratch: Scratch) -> DataFrame:
-    """Slots: no, shard, slot (within its source), round, block. Drawn per source and shard on the driver, a number each."""
-    known = [(r["no"], r["slots"]) for r in sources.where("slots > 0").select("no", "slots").orderBy("no").collect()]
-    shards = min(MAX_SHARDS, max(1, -(-sum(n for _, n in known) // SHARD_SLOTS)))  # larger mixes have larger shards
-    counts = shard_counts([n for _, n in known], shards)
-    ends = np.cumsum(counts, axis=0)
-    rows = [(no, k, int(ends[k, i] - counts[k, i]), int(counts[k, i])) for i, (no, _) in enumerate(known) for k in range(shards) if counts[k, i]]
-    drawn = scratch.save(spark.createDataFrame(rows, "no int, shard int, first long, n long"), "counts")
-    runs = drawn.select("no", "shard", "first", "n", F.explode(F.expr(f"sequence(0L, (n - 1) div {SHARD_SLOTS})")).alias("run")).repartition("no", "shard", "run")
-    lo, hi = f"first + run * {SHARD_SLOTS}", f"first + least(n, (run + 1) * {SHARD_SLOTS}) - 1"
-    slots = runs.select("no", "shard", F.explode(F.expr(f"sequence({lo}, {hi})")).alias("slot"))
-    slots = slots.join(sources.where("slots > 0").select("no", "blocks"), "no")  # broadcast by its size, not by a hint
-    slots = slots.withColumn("round", F.expr("slot div blocks"))
-    return slots.withColumn("block", _round("(slot % blocks)", "blocks", "no", "round")).select("no", "shard", "slot", "round", "block")
+    return placed, sources, dealt(sources)
+
+
+def _dealer(shards: int):
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():  # a run each
+                slot = np.arange(r["lo"], r["hi"], dtype=np.int64)
+                epoch = slot // r["blocks"]
+                block = permuted(slot % r["blocks"], r["blocks"], r["no"], epoch)
+                shard = (_keyed(r["no"], slot) % U64(shards)).astype(np.int64)
+                columns = [np.full(len(slot), r["no"], np.int32), shard, slot, epoch, block]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["no", "shard", "slot", "round", "block"])
+
+    return deal
+
+
+def dealt(sources: DataFrame) -> DataFrame:
+    """Slots: no, shard, slot (within its source), round, block. Only their number comes to the driver."""
+    some = sources.where("slots > 0")
+    total = some.agg(F.sum("slots")).first()[0] or 0
+    shards, tasks = max(1, -(-total // SHARD_SLOTS)), max(1, -(-total // SLOTS_PER_TASK))
+    runs = some.select("no", "blocks", "slots", F.explode(F.expr(f"sequence(0L, (slots - 1) div {RUN})")).alias("run"))
+    runs = runs.select("no", "blocks", (F.col("run") * RUN).alias("lo"), F.least((F.col("run") + 1) * RUN, "slots").alias("hi"))
+    return runs.repartition(tasks, "no", "lo").mapInArrow(_dealer(shards), SLOT)
+
+
+def shard_counts(slots: DataFrame) -> DataFrame:
+    """(no, shard, n): how many slots each shard has of each source."""
+    return slots.groupBy("no", "shard").agg(F.count("*").alias("n"))
 
 
 def segments(placed: DataFrame, slots: DataFrame) -> DataFrame:

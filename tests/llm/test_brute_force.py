@@ -3,10 +3,13 @@
 import hashlib
 import os
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quillgraph.llm import chat, decontam, licenses, mixing, neardup, quality, secrets, tokens, toxicity, warc
@@ -317,18 +320,78 @@ def test_mixing(spark, docs, texts):
     assert carried.count() == docs.count() and set(docs.columns) <= set(carried.columns)
 
 
+M64 = (1 << 64) - 1
+
+
+def splitmix(x):
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & M64
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & M64
+    return x ^ (x >> 31)
+
+
+def keyed(*parts):
+    h = mixing.SEED
+    for k, x in enumerate(parts):
+        h = splitmix((h * 0x9E3779B97F4A7C15 + (x & M64) + k) & M64)
+    return h
+
+
+def permuted(j, n, no, epoch):
+    for k in range(mixing.ROUNDS):
+        other = (keyed(no, epoch, k) % n - j) % n
+        j = other if keyed(no, epoch, k, max(j, other)) & 1 else j
+    return j
+
+
+def spark_hash(*values):
+    h = 42
+    for v in values:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else struct.pack("<q", v), seed=h)
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def test_mixing_takes_what_plain_python_takes(spark, docs, texts, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 16)
+    out = mixing.digest(spark, docs).collect()
+    rows = [(i, s, len(re.findall(r"[^\x20\x09-\x0D]+", t)), spark_hash(t)) for i, t, s in texts]
+    target = {r["source"]: r["target"] for r in out}
+    want = Counter()
+    for no, source in enumerate(sorted(target, key=lambda s: (s is None, (s or "").encode()))):
+        own = [r for r in rows if r[1] == source]
+        size, parts = sum(r[2] for r in own), -(-len(own) // mixing.BUCKET_ROWS)
+        blocks = -(-size // mixing.BLOCK)
+        slots = min(int(target[source] / (size / blocks) + 0.5), 3 * blocks) if blocks else 0
+        own.sort(key=lambda r: (spark_hash(r[0], r[2], r[3]) % parts, r[0] is not None, r[0] or 0, r[2], r[3]))
+        times = Counter(permuted(j % blocks, blocks, no, j // blocks) for j in range(slots))
+        at = 0
+        for i, _, n, h in own:
+            got = sum(times[w // mixing.BLOCK] for w in range(at, at + n))
+            want[i, source, n, h, got] += 1
+            at += n
+    assert Counter((r["doc_id"], r["source"], r["size"], r["h"], r["taken"]) for r in out) == want
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 65, 1000, 4097])
-def test_permutation(spark, n):
+def test_permutation(n):
     for rnd in (0, 1, 2):
-        df = spark.range(n).select(F.col("id").alias("j"), F.lit(n).cast("long").alias("blocks"), F.lit(4).alias("no"), F.lit(rnd).cast("long").alias("round"))
-        out = [r[0] for r in df.select(mixing._round("j", "blocks", "no", "round")).collect()]
-        assert sorted(out) == list(range(n))
+        out = mixing.permuted(np.arange(n), n, 4, rnd).tolist()
+        assert sorted(out) == list(range(n)) and out[:50] == [permuted(j, n, 4, rnd) for j in range(min(n, 50))]
     assert n < 60 or out != sorted(out)
 
 
-def test_shard_counts():
-    out = mixing.shard_counts([100, 0, 7, 1000], 9)
-    assert out.sum(0).tolist() == [100, 0, 7, 1000] and max(out.sum(1)) - min(out.sum(1)) <= 1
+def test_slots_are_dealt_to_shards_and_tasks(spark, monkeypatch):
+    for name, size in (("SHARD_SLOTS", 100), ("RUN", 16), ("SLOTS_PER_TASK", 64)):
+        monkeypatch.setattr(mixing, name, size)
+    sources = spark.createDataFrame([(0, 50, 150), (1, 1, 3), (2, 0, 0), (3, 700, 900)], "no int, blocks long, slots long")
+    out = mixing.dealt(sources)
+    assert out.rdd.getNumPartitions() == 17
+    rows = out.collect()
+    assert Counter(r["no"] for r in rows) == {0: 150, 1: 3, 3: 900}
+    assert max(Counter((r["no"], r["round"], r["block"]) for r in rows).values()) == 1
+    assert all(r["shard"] == keyed(r["no"], r["slot"]) % 11 for r in rows)
+    assert {(r["no"], r["shard"]): r["n"] for r in mixing.shard_counts(out).collect()} == Counter((r["no"], r["shard"]) for r in rows)
+    assert mixing.dealt(sources.where("no = 2")).isEmpty()
 
 
 def test_warc(spark, tmp_path):
