@@ -285,6 +285,56 @@ def test_decontamination_by_items_without_id(spark):
     assert {r["doc_id"] for r in decontam.marked(spark, own, bench).where("contaminated").collect()} == {1, 2, 3}
 
 
+@pytest.mark.parametrize("size", [8, 16 << 20])
+def test_decontamination_does_not_depend_on_blocks(spark, monkeypatch, size):
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", size)
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").where("text IS NOT NULL")
+    a, b = bench.orderBy("item_id").limit(2).collect()
+    odd = [(7000, a["text"].upper().replace(" ", " , ")), (-5, b["text"] + "!?"), (7001, "x"), (7002, "X!")]
+    items = bench.unionByName(spark.createDataFrame(odd, "item_id long, text string"))
+    own = spark.createDataFrame([(1, f"so {a['text']} and {b['text']}"), (2, "an x there"), (3, "nothing"), (4, None)], "doc_id long, text string")
+    own = own.unionByName(spark.read.parquet(f"{SF}/documents.parquet").where("doc_id > 4").select("doc_id", "text")).repartition(3)
+    assert len(decontam.blocks(items, decontam.Scratch(spark, "t"))) > 1 or size > 8
+    got = Counter(tuple(r) for r in decontam.matches(spark, own, items, whole=True).where("doc_id < 5").select("doc_id", "item_id", "n_items", "similarity").collect())
+    assert got == Counter([(1, min(a["item_id"], 7000), 2, 1.0), (1, -5, 2, 1.0), (2, 7001, 2, 1.0)])
+    every = decontam.matches(spark, own, items, whole=True)
+    flagged = {r["doc_id"] for r in decontam.marked(spark, own, items, whole=True).where("contaminated").collect()}
+    assert flagged == {r["doc_id"] for r in every.collect()} and {1, 2} < flagged
+    if size > 8:
+        monkeypatch.setattr(decontam, "BLOCK_BYTES", 300)
+        assert every.exceptAll(decontam.matches(spark, own, items, whole=True)).isEmpty()
+
+
+@pytest.mark.parametrize("n", [7, 11, 35, 55])
+def test_multi_index_prunes_and_finds(n):
+    """Of random windows under 5 % are candidates; of windows at the threshold nearly all; within SURE bits all are."""
+    rng = np.random.default_rng(n)
+    draw = lambda *shape: rng.integers(0, 1 << 63, shape, dtype=np.uint64)
+    items, windows = draw(300, n), draw(400, n)
+    index, some = decontam.Index(items, np.arange(300)), decontam.Index(items[:50], np.arange(50))
+    prints = decontam.fingerprints(windows)
+    rows, found = index.candidates(prints)
+    assert len(rows) < 0.05 * 300 * 400
+    pairs = lambda x: set(zip(*(y.tolist() for y in x), strict=True))
+    assert pairs(some.candidates(prints)) == {(r, i) for r, i in pairs((rows, found)) if i < 50}
+    changed = -(-2 * n * decontam.PERCENT // (100 + decontam.PERCENT))
+    hits = 0
+    for _ in range(5):
+        near = items.copy()
+        for row in near:
+            row[rng.choice(n, n - changed, replace=False)] = draw(n - changed)
+        rows, found = index.within(decontam.fingerprints(near))
+        hits += int((rows == found).sum())
+    assert hits >= 0.99 * 5 * 300
+    moved = index.prints.copy()
+    for row in moved:
+        bits = np.unpackbits(row.view(np.uint8))
+        bits[rng.choice(decontam.BITS, decontam.SURE, replace=False)] ^= 1
+        row[:] = np.packbits(bits).view(np.uint64)
+    rows, found = index.candidates(moved)
+    assert int((rows == found).sum()) == 300
+
+
 def test_decontamination_without_items(spark, docs):
     assert decontam.matches(spark, docs, spark.createDataFrame([], "item_id long, text string")).isEmpty()
 
