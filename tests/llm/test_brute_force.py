@@ -93,6 +93,32 @@ def test_redaction(spark, docs):
     assert rows[0]["n_chars"] == len(rows[0]["text"])
 
 
+def test_web_tokens_in_linear_time():
+    import random
+    import time
+
+    rng, pattern = random.Random(1), secrets.RULES[6][2]
+    pieces = ["eyJ", "a", "-", "_", ".", ".eyJ", "abcdefgh", "12345678", " ", "eyJabcdefghij"]
+    for _ in range(3000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(3, 25)))
+        assert [x[1:] for x in secrets.spans(text, ["jwt"])] == [m.span() for m in pattern.finditer(text)], text
+    text = "eyJ" * 1_700_000
+    began = time.process_time()
+    assert secrets.spans(f"{text}.{text} {text}.{text}.{text}", ["jwt"]) == [(6, 10_200_002, 25_500_004)]
+    assert secrets.spans(f"{text}.{text}", ["jwt"]) == []
+    assert time.process_time() - began < 60  # minutes for each MB if a run were read from each eyJ on
+
+
+def test_secrets_in_a_text_of_several_megabytes(spark):
+    text = "é plain words " * 300_000 + SECRET + " x" * 100
+    df = spark.createDataFrame([(1, text, 0), (1, text, 0), (None, None, 0), (None, None, 0), (2, SECRET, 0)], "doc_id long, text string, n_chars int")
+    out = {(r["doc_id"], r["spans"]) for r in secrets.digest(spark, df).collect()}
+    move = lambda at: ",".join(f"{k}:{int(a) + at}:{int(b) + at}" for k, a, b in (x.split(":") for x in "assign:2:51,hex:11:51,access:55:75,assign:98:114".split(",")))
+    assert out == {(1, move(14 * 300_000)), (2, move(0)), (None, "")}
+    rows = secrets.redact(spark, df).collect()
+    assert len(rows) == 5 and sorted(r["n_chars"] for r in rows if r["doc_id"]) == sorted(len(r["text"]) for r in rows if r["doc_id"])
+
+
 def test_quality(docs, texts):
     want = []
     for i, text, _ in texts:
