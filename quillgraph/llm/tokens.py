@@ -4,12 +4,14 @@ The vocabulary's pieces and scores come from a SentencePiece model file (a param
 Aho-Corasick automaton lists all pieces that occur; dynamic programming over code points carries the
 best score and the number of pieces. Ties follow the tokenizer: pieces are tried by where they
 start, from the left, and a later one must be strictly better. A code point that no one-character
-piece covers scores the least score minus 10 and, with byte fallback, counts a piece per byte of UTF-8.
+piece covers scores the least score minus 10 and counts a piece per byte of UTF-8 where the model has
+pieces for bytes, else one unknown piece for the whole run of such code points.
 
 A space becomes U+2581, and one is put before a text. As no piece has that sign after another one
 (checked when loading), a text may be cut before each sign that follows another character and the
 parts counted by themselves; each worker keeps the counts of up to CACHE parts. A null or empty
-text has 0 tokens. Rows are independent; other columns are ignored; an empty table gives none.
+text has 0 tokens. Texts of any length are counted whole, in memory that grows with their longest part.
+Rows are independent, so repeated ones get equal counts; other columns are ignored; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -35,6 +37,14 @@ def default_model() -> str:
     return public_tokenizers.path(MODEL)
 
 
+def has_bytes(model: str) -> bool:
+    """Whether the model has a piece for every byte."""
+    import sentencepiece
+
+    p = sentencepiece.SentencePieceProcessor(model_file=model)
+    return sum(p.is_byte(i) for i in range(p.get_piece_size())) == 256
+
+
 def pieces(model: str) -> list[tuple[str, float]]:
     """Ordinary pieces and their scores; control, unknown and byte pieces are never matched."""
     import sentencepiece
@@ -44,7 +54,7 @@ def pieces(model: str) -> list[tuple[str, float]]:
 
 
 class Counter:
-    def __init__(self, vocabulary: list[tuple[str, float]]):
+    def __init__(self, vocabulary: list[tuple[str, float]], byte_pieces: bool = True):
         if any(SIGN in piece.lstrip(SIGN) for piece, _ in vocabulary):
             raise ValueError("a piece has the space sign after another character: parts cannot be counted alone")
         self.automaton = ahocorasick.Automaton()
@@ -53,6 +63,9 @@ class Counter:
         self.automaton.make_automaton()
         self.unknown = min(s for _, s in vocabulary) - UNKNOWN_PENALTY
         self.single = {piece for piece, _ in vocabulary if len(piece) == 1}
+        self.byte_pieces = byte_pieces
+        # Unknown runs are one piece, so parts stand alone only where no run goes on through the sign.
+        self.parts = _PART.findall if byte_pieces or SIGN in self.single else lambda text: [text]
         self.cache: dict[str, int] = {}
 
     def part(self, text: str) -> int:
@@ -63,7 +76,7 @@ class Counter:
             if (at := ending[last + 1]) is None:
                 at = ending[last + 1] = []
             at.append((length, score))
-        best, count = [0.0] * (n + 1), [0] * (n + 1)
+        best, count, unknown = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
         for end in range(1, n + 1):
             c = text[end - 1]
             options = sorted(ending[end] or (), reverse=True)  # the longest starts first
@@ -75,14 +88,18 @@ class Counter:
                 if (s := best[end - length] + score) > top:
                     top, k = s, length
             best[end] = top
-            count[end] = count[end - k] + (len(c.encode("utf-8", "surrogatepass")) if k == 1 and c not in self.single else 1)
+            if k == 1 and c not in self.single:
+                unknown[end] = True
+                count[end] = count[end - 1] + (len(c.encode("utf-8", "surrogatepass")) if self.byte_pieces else not unknown[end - 1])
+            else:
+                count[end] = count[end - k] + 1
         return count[n]
 
     def text(self, text: str | None) -> int:
         if not text:
             return 0
         total, cache = 0, self.cache
-        for part in _PART.findall(SIGN + text.replace(" ", SIGN)):
+        for part in self.parts(SIGN + text.replace(" ", SIGN)):
             n = cache.get(part)
             if n is None:
                 n = self.part(part)
@@ -100,7 +117,7 @@ _loaded: dict[str, Counter] = {}
 def counter(model: str) -> Counter:
     """Kept as long as the worker lives."""
     if model not in _loaded:
-        _loaded[model] = Counter(pieces(model))
+        _loaded[model] = Counter(pieces(model), has_bytes(model))
     return _loaded[model]
 
 

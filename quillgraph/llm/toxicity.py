@@ -8,8 +8,11 @@ leave few weights, at most 2**BITS, so their broadcast has a known bound.
 Labels come only from rows outside the held-out fifth (crc32 of doc_id as text, modulo 5, is not 0).
 Text alone is scored. Null and empty texts have no features and get the score of the bias. Null
 doc_ids count as held out. Null labels are left out; of several labels of a document the largest
-counts. Repeated rows get equal scores, other columns are ignored, and without any labelled row
-every score is 0.
+counts. Of several texts of a labelled doc_id the one with the least hash trains (of equal hashes the least text), so
+reruns give the same model. Texts of any length are read whole: their features are hashed in parallel, and the
+task that trains holds no more than 2**BITS places of each row. Repeated rows get equal scores, other columns are carried
+by ``scored``, whose column replaces one of that name, and without any labelled row every score is 0; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -41,14 +44,18 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out]).astype(np.int64)
 
 
-def train(texts: list[str], labels: list[int]) -> tuple[np.ndarray, np.ndarray, float]:
-    """(places, weights, bias); sequential, so rows must come in a fixed order."""
-    docs = []
-    for _, _, data, offsets in chunks(pa.array(texts, pa.large_string())):
+def places(texts: pa.Array) -> Iterator[np.ndarray]:
+    """The distinct places of every text, in order."""
+    for _, _, data, offsets in chunks(texts):
         text, place = features(data, offsets)
-        order = np.argsort(text, kind="stable")
-        bounds = np.searchsorted(text[order], np.arange(len(offsets)))
-        docs += [np.unique(place[order[a:b]]).astype(np.int32) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        found = np.unique(text * (1 << BITS) + place)
+        bounds = np.searchsorted(found, np.arange(len(offsets)) << BITS)
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            yield (found[a:b] & ((1 << BITS) - 1)).astype(np.int32)
+
+
+def train(docs: list[np.ndarray], labels: list[int]) -> tuple[np.ndarray, np.ndarray, float]:
+    """(places, weights, bias) of rows that come as their places; sequential, so rows must come in a fixed order."""
     bias = 1 << BITS
     z, n = np.zeros(bias + 1), np.zeros(bias + 1)
     for _ in range(PASSES if docs else 0):
@@ -66,13 +73,19 @@ def train(texts: list[str], labels: list[int]) -> tuple[np.ndarray, np.ndarray,
     return at, w[at], float(w[bias])
 
 
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [x.tobytes() for x in places(batch["text"])]
+        yield pa.RecordBatch.from_arrays([batch["h"], batch["doc_id"], batch["toxic"], pa.array(rows, pa.binary())], ["h", "doc_id", "toxic", "places"])
+
+
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    texts, labels = [], []
+    docs, labels = [], []
     for batch in batches:
-        texts += batch["text"].to_pylist()
+        docs += [np.frombuffer(x, np.int32) for x in batch["places"].to_pylist()]
         labels += batch["toxic"].to_pylist()
-    at, w, bias = train([x or "" for x in texts], labels)
-    if texts:
+    if docs:
+        at, w, bias = train(docs, labels)
         columns = [pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([w.tobytes()], pa.binary()), pa.array([bias], pa.float64())]
         yield pa.RecordBatch.from_arrays(columns, ["places", "weights", "bias"])
 
@@ -84,12 +97,15 @@ def held_out() -> Column:
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, scratch: Scratch, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray, float | None]:
     """(places, weights, bias); no bias where no row is labelled. One task trains on at most ``rows`` texts."""
     small_batches(spark)
-    known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # Only labels whose text is there count, so a fixed number of them is enough.
-    there = known.join(docs.select("doc_id"), "doc_id", "left_semi")
+    there = known.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
     chosen = there.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(rows)
-    texts = docs.select("doc_id", "text").join(F.broadcast(scratch.save(chosen, "chosen")), "doc_id").dropDuplicates(["doc_id"])
-    ordered = texts.repartition(1).sortWithinPartitions("h", "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = own.join(F.broadcast(scratch.save(chosen, "chosen")), "doc_id")  # at most ``rows`` rows
+    one = texts.groupBy("h", "doc_id", F.col("toxic").cast("int").alias("toxic")).agg(F.min(F.struct(F.xxhash64("text").alias("k"), "text"))["text"].alias("text"))
+    hashed = one.mapInArrow(_placed, "h long, doc_id long, toxic int, places binary")
+    ordered = hashed.repartition(1).sortWithinPartitions("h", "doc_id").select("places", "toxic")
     model = scratch.save(ordered.mapInArrow(_train, "places binary, weights binary, bias double"), "weights").first()  # at most 12 * 2**BITS bytes
     if model is None:
         return np.zeros(0, np.int32), np.zeros(0), None

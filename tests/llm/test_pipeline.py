@@ -1,18 +1,18 @@
 """The pipeline's stages and the registered queries against plain Python and SQL, at sf0.001 and on odd rows."""
 
 import re
+import zlib
 from collections import Counter
 
 import duckdb
-import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillgraph.llm import chat, decontam, neardup, queries, secrets, tokens, toxicity, warc
+from quillgraph.llm import chat, decontam, neardup, queries, tokens, warc
 from quillgraph.llm.oracle import ORACLE_SQL
-from tests.llm.test_brute_force import SF, docs, jaccard_components, texts  # noqa: F401
+from tests.llm.test_brute_force import SF, docs, jaccard_components, plain_ftrl, plain_places, spark_hash, texts  # noqa: F401
 
 
 def plain(v):
@@ -34,25 +34,17 @@ def test_query_matches_sql(spark, name):
 
 
 def kept_by_score(spark, rows):
-    """Plain Python scores of rows (id, text) by a model that is trained on the same rows in the same order."""
+    """Whether plain Python, trained on the same rows in the same order, scores rows (id, text) below one half."""
     labels = {}
-    for r in spark.read.parquet(f"{SF}/labels.parquet").where(~toxicity.held_out()).collect():
-        if r["doc_id"] is not None and r["toxic"] is not None:
+    for r in spark.read.parquet(f"{SF}/labels.parquet").collect():
+        if r["doc_id"] is not None and r["toxic"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5:
             labels[r["doc_id"]] = max(r["toxic"], labels.get(r["doc_id"], 0))
     first = {}
     for i, t in rows:
         first.setdefault(i, t or "")
-    known = spark.createDataFrame([(i,) for i in first if i in labels], "doc_id long").withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id")
-    ids = [r["doc_id"] for r in known.collect()]
-    at, w, bias = toxicity.train([first[i] for i in ids], [labels[i] for i in ids])
-    weights = dict(zip(at.tolist(), w.tolist(), strict=True))
-
-    def score(t):
-        data = np.frombuffer((t or "").encode(), np.uint8)
-        _, place = toxicity.features(data, np.array([0, len(data)]))
-        return bias + sum(weights.get(p, 0.0) for p in set(place.tolist()))
-
-    return [score(t) < 0 for _, t in rows]
+    ids = sorted((i for i in first if i in labels), key=lambda i: (spark_hash(i), i))
+    weights, bias = plain_ftrl([plain_places(first[i]) for i in ids], [labels[i] for i in ids])
+    return [bias + sum(weights.get(p, 0.0) for p in plain_places(t)) < 0 for _, t in rows]
 
 
 def contaminated(text, items):
@@ -70,14 +62,24 @@ def contaminated(text, items):
     return False
 
 
+KINDS = [
+    ("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A, 2, 6),
+    ("access", "AKIA[A-Z0-9]+", 0, 0, 20), ("hex", "[0-9a-f]+", 0, 0, 24), ("github", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 0, 40),
+    ("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0, 15), ("google", "AIza[A-Za-z0-9_-]{35}", 0, 0, 39),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0, 20),
+    ("pem", "-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----(?:[^-]*-----END (?:[A-Z]+ )?PRIVATE KEY-----)?", 0, 0, 20),
+]
+
+
 def redacted(text):
     if text is None:
         return None
+    found = [(m.start(), -m.end(), kind) for kind, pattern, flags, group, least in KINDS for m in re.finditer(pattern, text, flags) if len(m[group]) >= least]
     out, at = "", 0
-    for k, a, b in sorted(secrets.spans(text), key=lambda x: (x[1], -x[2])):
+    for a, b, kind in sorted(found, key=lambda x: x[:2]):
         if a >= at:
-            out += text[at:a] + f"[{secrets.RULES[k][0]}]"
-        at = max(at, b)
+            out += text[at:a] + f"[{kind}]"
+        at = max(at, -b)
     return out + text[at:]
 
 
