@@ -70,6 +70,8 @@ class Counter:
 
     def part(self, text: str) -> int:
         """Pieces on the best path through a text."""
+        if self.single.issuperset(text):
+            return self._covered(text)
         n = len(text)
         ending: list[list | None] = [None] * (n + 1)
         for last, (length, score) in self.automaton.iter(text):
@@ -95,6 +97,18 @@ class Counter:
                 count[end] = count[end - k] + 1
         return count[n]
 
+    def _covered(self, text: str) -> int:
+        """The same where pieces cover every character, so that one ends at each place. The automaton lists the longest first."""
+        best, count, end = [0.0], [0], 0
+        for last, (length, score) in self.automaton.iter(text):
+            if last == end:
+                end += 1
+                best.append(best[end - length] + score)
+                count.append(count[end - length] + 1)
+            elif (s := best[end - length] + score) > best[end]:
+                best[end], count[end] = s, count[end - length] + 1
+        return count[end]
+
     def text(self, text: str | None) -> int:
         if not text:
             return 0
