@@ -1,23 +1,30 @@
 """License scans by diagonal voting.
 
-Texts are cut into lower-case words. All rolling K-word hashes of all texts are joined to those of
-the templates; a match votes for the diagonal (place in the text minus place in the template).
-Diagonals at most SHIFT apart are merged, and a merged span counts as verified if it covers MIN_SHARE
-of the template's K-grams within a span of at most the template's words plus SLACK. Beside that stand the base phrases.
-
-All is DataFrame code. The templates are constants of this module, so their side of the join has a
-known size (below 2,000 rows) and is broadcast. A null text counts as empty; rows are judged one
-by one, rows that are equal in doc_id and text get equal results; further columns are ignored.
+Texts are cut into lower-case words, once. All rolling K-word hashes of all texts are joined to those of
+the templates and their words compared, so that no collision counts; a match votes for the diagonal (place
+in the text minus place in the template). Diagonals at most SHIFT apart are merged, and a merged span counts
+as verified if it covers MIN_SHARE of the template's K-grams within a span of at most the template's words
+plus SLACK. Beside that stand the base phrases.
+
+All is DataFrame code. Templates are a table (template, text) of the caller's, or those of this module; only the
+latter, of a known size, are broadcast by a hint. A name ending in -notice or -text gives the label before that. Templates of
+fewer than K words match nothing.
+
+A null text counts as empty, a text of any length is scanned whole. Rows are judged one by one: rows that
+are equal in doc_id and text get equal results, several labels of a text are sorted, and of several spans of
+a template the best share counts. Further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 K, SHIFT, MIN_SHARE, SLACK = 3, 2, 0.8, 4
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 TEMPLATES = {
@@ -45,27 +52,70 @@ def _words(text: str) -> list[str]:
     return [w for w in re.split(_SPLIT, text.lower()) if w]
 
 
-def templates(spark: SparkSession) -> DataFrame:
-    """Rows (template, tpos, gram, n_grams), hashed as the texts are."""
-    rows = [(name, i, *w[i : i + K], len(w) - K + 1) for name, text in TEMPLATES.items() for w in [_words(text)] for i in range(len(w) - K + 1)]
-    out = spark.createDataFrame(rows, "template string, tpos int, a string, b string, c string, n_grams int")
-    return out.select("template", "tpos", F.xxhash64("a", "b", "c").alias("gram"), "n_grams")
+def _lowered(text: Column) -> Column:
+    ascii_lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.when(text.rlike(f"[{_ODD}]"), ascii_lower).otherwise(F.lower(text))
 
 
-def _split(docs: DataFrame) -> DataFrame:
-    whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    ascii_lower = F.translate(whole, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    low = F.when(whole.rlike(f"[{_ODD}]"), ascii_lower).otherwise(F.lower(whole))
-    keyed = docs.select("doc_id", F.xxhash64("doc_id", whole).alias("k1"), F.hash("doc_id", whole).alias("k2"), low.alias("low"))
-    return keyed.withColumn("w", F.filter(F.split("low", _SPLIT), lambda w: w != "")).drop("low")
+def _cut(text: Column) -> Column:
+    return F.filter(F.split(_lowered(text), _SPLIT), lambda w: w != "")
+
+
+def templates(spark: SparkSession, texts: DataFrame | None = None) -> DataFrame:
+    """Rows (template, tpos, gram, n_grams, words) of the given texts (template, text), hashed as documents are."""
+    texts = texts if texts is not None else spark.createDataFrame(list(TEMPLATES.items()), "template string, text string")
+    cut = texts.select("template", _cut(F.coalesce("text", F.lit(""))).alias("w")).where(F.size("w") >= K)
+    n_grams = (F.size("w") - (K - 1)).alias("n_grams")
+    rows = cut.select("template", "w", n_grams, F.explode(F.sequence(F.lit(0), F.size("w") - K)).alias("tpos"))
+    own = rows.select("template", "tpos", "n_grams", F.array_join(F.slice("w", F.col("tpos") + 1, K), " ").alias("words"))
+    return own.select("template", "tpos", F.xxhash64("words").alias("gram"), "n_grams", "words")
 
 
-def votes(docs: DataFrame) -> DataFrame:
+def _base(w: Column) -> Column:
+    """n_words and the places of the base phrases, of an array of words."""
+    j = F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
+    spaces = lambda s: (F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))).cast("long")
+
+    def places(j: Column) -> Column:
+        n, first, last, labels, any_of = F.lit(0).cast("long"), [], [], [], F.lit(False)
+        for phrase, label in PHRASES.items():
+            padded, turned = f" {phrase} ", f" {phrase} "[::-1]
+            has = F.contains(j, F.lit(padded))
+            any_of = any_of | has
+            n = n + F.when(has, F.regexp_count(j, F.lit(f" {phrase}(?= )"))).otherwise(0).cast("long")
+            first.append(F.when(has, spaces(F.substring(j, F.lit(1), F.instr(j, padded) - 1))))
+            after = F.instr(F.reverse(j), turned) + len(padded) - 1  # from the end, up to the space before the phrase
+            last.append(F.when(has, spaces(F.substring(j, F.lit(1), F.length(j) - after))))
+            labels.append(F.when(has, F.lit(label)))
+        return F.struct(
+            F.when(any_of, n).otherwise(0).cast("long").alias("n_base"), F.when(any_of, F.least(*first)).alias("first_word"),
+            F.when(any_of, F.greatest(*last)).alias("last_word"), F.array_compact(F.array(*labels)).alias("base"),
+        )
+
+    return F.transform(F.array(j), places)[0]
+
+
+def scanned(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """Of each text a row with the measures of the base phrases, and a row for each hit in a template with its place.
+
+    Each text is cut into words once: its measures go along with its K-grams, of which only hits stay, and with one
+    more row before them (no template).
+    """
+    whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    # Only a K-gram's own words go along with it: rows made of one text must not each hold the whole of it.
+    grams = lambda w: F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - (K - 1), F.lit(0))), lambda x, i: F.concat_ws(" ", x, *[F.get(w, i + k) for k in range(1, K)]))
+    made = F.transform(F.array(_cut(whole)), lambda w: F.struct(F.concat(F.array(F.lit("")), grams(w)).alias("grams"), _base(w).alias("b"), F.size(w).cast("long").alias("n")))[0]
+    keyed = docs.select("doc_id", F.xxhash64("doc_id", whole).alias("k1"), F.hash("doc_id", whole).alias("k2"), made.alias("m"))
+    rolled = keyed.select("doc_id", "k1", "k2", F.col("m.n").alias("n_words"), F.col("m.b").alias("b"), F.posexplode("m.grams").alias("at", "words"))
+    rolled = rolled.withColumn("gram", F.xxhash64("words"))
+    same = (F.col("r.gram") == F.col("t.gram")) & (F.col("r.words") == F.col("t.words"))
+    hits = rolled.alias("r").join(known.alias("t"), same, "left").where("template IS NOT NULL OR at = 0")
+    return hits.select("doc_id", "k1", "k2", "n_words", "b.*", (F.col("at") - 1).alias("pos"), "template", "tpos", "n_grams")
+
+
+def votes(hits: DataFrame) -> DataFrame:
     """Verified spans: k1, k2 (keys of the row), template, first_word, share of the template's K-grams."""
-    spark = docs.sparkSession
-    grams = F.expr("transform(array(w), v -> transform(slice(v, 1, greatest(size(v) - 2, 0)), (x, i) -> xxhash64(x, get(v, i + 1), get(v, i + 2))))[0]")
-    rolled = _split(docs).select("k1", "k2", F.posexplode(grams).alias("pos", "gram"))
-    hits = rolled.join(F.broadcast(templates(spark)), "gram").withColumn("diagonal", F.col("pos") - F.col("tpos"))
+    hits = hits.where("template IS NOT NULL").select("k1", "k2", "template", "tpos", "n_grams", "pos", (F.col("pos") - F.col("tpos")).alias("diagonal"))
     by_diagonal = hits.groupBy("k1", "k2", "template", "diagonal").agg(F.collect_set("tpos").alias("tposs"), F.max("n_grams").alias("n_grams"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
     # Neighbouring diagonals whose spans are near each other merge: a word more or less shifts a diagonal by one.
     order = W.partitionBy("k1", "k2", "template").orderBy("diagonal")
@@ -77,37 +127,16 @@ def votes(docs: DataFrame) -> DataFrame:
     return merged.where((share >= MIN_SHARE) & fits).select("k1", "k2", "template", "first_word", share.alias("share"))
 
 
-def _base(split: DataFrame) -> DataFrame:
-    """n_words and the places of the base phrases."""
-    joined = F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))
-    out = split.select("doc_id", "k1", "k2", F.size("w").cast("long").alias("n_words"), joined.alias("j"))
-    spaces = lambda s: (F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))).cast("long")
-    n, first, last, labels = F.lit(0).cast("long"), [], [], []
-    any_of = F.lit(False)
-    for phrase, label in PHRASES.items():
-        padded, turned = f" {phrase} ", f" {phrase} "[::-1]
-        has = F.col("j").contains(padded)
-        any_of = any_of | has
-        n = n + F.when(has, F.regexp_count("j", F.lit(f" {phrase}(?= )"))).otherwise(0).cast("long")
-        first.append(F.when(has, spaces(F.substring("j", F.lit(1), F.instr("j", padded) - 1))))
-        after = F.instr(F.reverse("j"), turned) + len(padded) - 1  # from the end, up to the space before the phrase
-        last.append(F.when(has, spaces(F.substring("j", F.lit(1), F.length("j") - after))))
-        labels.append(F.when(has, F.lit(label)))
-    return out.select(
-        "doc_id", "k1", "k2", "n_words", F.when(any_of, n).otherwise(0).cast("long").alias("n_base"),
-        F.when(any_of, F.least(*first)).alias("first_word"), F.when(any_of, F.greatest(*last)).alias("last_word"),
-        F.array_compact(F.array(*labels)).alias("base"),
-    )
-
-
-def digest(docs: DataFrame) -> DataFrame:
-    """One row per document: places of base phrases, labels of both ways, and a score.
+def digest(docs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """One row per document: places of base phrases, labels of both ways, and a score; ``texts`` are templates.
 
     The score is 1 where a base phrase stands, else the greatest share of a template that a verified span covers, else 0.
     """
-    docs = docs.select("doc_id", "text")
-    found = votes(docs).groupBy("k1", "k2").agg(F.collect_set(F.regexp_replace("template", "-(notice|text)$", "")).alias("more"), F.max("share").alias("share"))
-    rows = _base(_split(docs)).join(found, ["k1", "k2"], "left")
+    spark = docs.sparkSession
+    known = templates(spark, texts)
+    hits = Scratch(spark, "licenses").save(scanned(docs.select("doc_id", "text"), F.broadcast(known) if texts is None else known), "hits")
+    found = votes(hits).groupBy("k1", "k2").agg(F.collect_set(F.regexp_replace("template", "-(notice|text)$", "")).alias("more"), F.max("share").alias("share"))
+    rows = hits.where("pos < 0").join(found, ["k1", "k2"], "left")
     both = F.array_sort(F.array_distinct(F.concat("base", F.coalesce("more", F.array().cast("array<string>")))))
     score = F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("share", F.lit(0.0)))
     return rows.select(

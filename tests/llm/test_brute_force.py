@@ -154,6 +154,20 @@ def test_license_template_with_a_word_more(spark):
     assert licenses.digest(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["labels"] == "bsd"
 
 
+def test_license_templates_of_the_caller(spark):
+    """Whole texts as a table, one found with a change, one cut short, and none by the module's own templates."""
+    w = [f"clause{i}" for i in range(400)]
+    texts = spark.createDataFrame([("own-text", " ".join(w)), ("other", "a b c d e f"), ("short", "a b"), ("none", None)], "template string, text string")
+    rows = [
+        (1, "x " * 90 + ", ".join([*w[:200], "added", *w[200:]]) + " y"), (2, " ".join(w[:300])), (3, " ".join(w[:330]).upper()), (4, "A. b c D e f"), (4, "A. b c D e f"),
+        (5, "a b c"), (6, None), (7, licenses.TEMPLATES["bsd-text"]), (8, "word " * 300_000 + " ".join(w)),
+    ]
+    out = licenses.digest(spark.createDataFrame(rows, "doc_id long, text string"), texts).collect()
+    got = Counter((r["doc_id"], r["labels"], round(r["score"], 3)) for r in out)
+    assert got == Counter([(1, "own", 0.995), (2, "", 0.0), (3, "own", 0.824), (4, "other", 1.0), (4, "other", 1.0), (5, "", 0.0), (6, "", 0.0), (7, "", 0.0), (8, "own", 1.0)])
+    assert {r["doc_id"]: r["n_words"] for r in out}[8] == 300_400
+
+
 def jaccard_components(texts, least=85):
     sets = []
     for _, text, _ in texts:
