@@ -5,22 +5,27 @@ ASCII white space, A-Z lower-cased; fewer words make one shingle; no word, no se
 
 1. One pass makes each set's size, its 64-bit sum, M SetSketch registers (truncated logarithms, to
    base RADIX, of exponential minima; the registers of a union are the maxima) and M / ROWS band keys.
-2. Documents with equal sets form a class; only classes go on, so copies are never expanded.
-3. Every class is compared with the least class of each of its buckets (linear in the bucket).
-   Survivors of the likelihood test are verified on whole sets; links join classes to components.
-4. In buckets that still hold several components, blocks of BLOCK members (or BLOCK_SETS shingles) are
-   compared register by register within a task; pairs of different components that pass the test are
-   verified on whole sets there, and only links that join two components leave the task.
+2. Documents with equal sets form a class; only classes go on, so copies are never expanded. The sets of
+   classes that share a bucket with another one are made once, from the texts of their representatives.
+3. PIVOTS times, every class is compared with one member of each of its buckets (linear in the bucket), each
+   time one that is not yet joined to those before it. What passes the likelihood test is verified on whole
+   sets, with a set of many partners dealt over copies; links join classes to components.
+4. Buckets that still hold several components are parted by size, without loss: members whose sizes differ too
+   much for the least similarity never meet. The parts go in blocks of BLOCK members (or BLOCK_SETS shingles), by pairs of
+   blocks; a task compares registers, then whole sets of what passes, and only links that join two components leave it.
 
 The test maximises the joint likelihood of the registers' comparisons (greater, less, equal) given
 both set sizes and drops a pair only if the least similarity is exp(SURE) times less likely than the best J.
 That similarity is PERCENT unless the caller gives another one. At J = 0.85 a pair shares no band
-with a probability of 2e-8, at 0.8 of 3e-6; links within a component that are
+with a probability of 1e-5, at 0.8 of 7e-4 (at 0.5 it shares one with 0.31); links within a component that are
 skipped cannot change the result, which is exact but for that and for collisions of 64-bit hashes.
 
+Sets are shuffled once for each bucket that is still open after step 3, and for each block of it that they meet: what
+is quadratic in a bucket of very many pages that resemble each other and are no copies is the number of blocks squared.
+
 A null doc_id is never the least id unless its component has no other, then component_id is null and kept
-is true. Rows that repeat a doc_id are rows of their own. Other columns are ignored; an empty table
-gives an empty result.
+is true. Rows that repeat a doc_id are rows of their own. Texts of any length are taken whole; a null text is an empty one.
+Other columns are ignored by ``digest`` and carried by ``deduplicated``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,9 +41,9 @@ from ..operators.components import connected
 from .common import SPACED, U64, Scratch, chunks, grams, mix, small_batches, words
 
 WORDS, PERCENT = 5, 85
-M, ROWS, RADIX, RATE = 96, 4, 1.001, 100.0
+M, ROWS, RADIX, RATE = 144, 6, 1.001, 100.0
 BANDS = M // ROWS
-BLOCK, BLOCK_SETS, STEP, SURE, SALT = 1024, 1 << 19, 256, 18.0, 256
+PIVOTS, BLOCK, BLOCK_SETS, STEP, SURE, SALT = 3, 2048, 1 << 20, 256, 18.0, 256
 _rng = np.random.Generator(np.random.PCG64(20240))
 _MUL = _rng.integers(1, 1 << 63, M, dtype=np.uint64) * U64(2) + U64(1)
 _ADD = _rng.integers(0, 1 << 63, M, dtype=np.uint64)
@@ -173,51 +178,59 @@ def _likely(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([batch[n].filter(pa.array(ok)) for n in ("a", "b", "na", "nb")], ["a", "b", "na", "nb"])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Members of bucket blocks, sorted by block; yields links between different components, checked on whole sets.
+def _linked(t: pa.Table, own: bool, percent: int) -> pa.RecordBatch:
+    """Links between different components among the members of two blocks (``own``: of one), checked on whole sets.
 
-    A pair is looked at in the first band that it shares only. What a link joins counts as one component from then
-    on, so a block yields fewer links than it has members.
+    A pair is looked at in the first band that it shares only. What a link joins counts as one component from then on,
+    so there are fewer links than members.
     """
-    key, rows = None, []
-
-    def linked() -> pa.RecordBatch:
-        node, label, n, side = (np.array([r[c] for r in rows], np.int64) for c in ("node", "component", "n", "side"))
-        regs = np.frombuffer(b"".join(r["registers"] for r in rows), np.uint16).reshape(-1, M)
-        bands, band = regs.reshape(len(rows), BANDS, ROWS), rows[0]["band"]
-        sets = [np.frombuffer(r["set"], U64) for r in rows]
-        own = key[1] == key[2]
-        left, right = (np.flatnonzero(side == x) for x in ((0, 0) if own else (0, 1)))
-        out = []
-        for k, a in enumerate(left):
-            others = right[k + 1 :] if own else right
-            others = others[(label[others] != label[a]) & (100 * np.minimum(n[others], n[a]) >= percent * np.maximum(n[others], n[a]))]
-            if len(others):
-                others = others[possible((regs[a] > regs[others]).sum(1), (regs[a] < regs[others]).sum(1), np.full(len(others), float(n[a])), n[others].astype(float), percent)]
-                others = others[~(bands[a, :band] == bands[others, :band]).all(2).any(1)]
-            for i in range(0, len(others), STEP):
-                some = others[i : i + STEP]
-                some = some[label[some] != label[a]]
-                if not len(some):
-                    continue
-                flat = np.concatenate([sets[b] for b in some])
-                hit = sets[a][np.minimum(np.searchsorted(sets[a], flat), n[a] - 1)] == flat
-                shared = np.add.reduceat(hit, np.cumsum(n[some]) - n[some], dtype=np.int64)
-                for b in some[100 * shared >= percent * (n[a] + n[some] - shared)]:
-                    if label[b] != label[a]:
-                        out.append((node[a], node[b]))
-                        label[label == label[b]] = label[a]
-        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in range(2)], ["u", "v"])
+    node, label, n, side, low = (t[c].to_numpy() for c in ("node", "component", "n", "side", "low"))
+    label = label.copy()
+    flat = lambda c, kind: np.frombuffer(pa.concat_arrays(t[c].chunks).cast(pa.large_binary()).buffers()[2], kind)
+    regs, every, band = flat("registers", np.uint16).reshape(-1, M), flat("set", U64), t["band"][0].as_py()
+    ends = np.cumsum(n)
+    bands = regs.reshape(len(n), BANDS, ROWS)
+    left, right = (np.flatnonzero(side == x) for x in ((0, 0) if own else (0, 1)))
+    out = []
+    for k, a in enumerate(left):
+        others = right[k + 1 :] if own else right
+        fit = (label[others] != label[a]) & (100 * np.minimum(n[others], n[a]) >= percent * np.maximum(n[others], n[a])) & ~(low[a] & low[others])
+        others = others[fit]
+        if len(others):
+            others = others[possible((regs[a] > regs[others]).sum(1), (regs[a] < regs[others]).sum(1), np.full(len(others), float(n[a])), n[others].astype(float), percent)]
+            others = others[~(bands[a, :band] == bands[others, :band]).all(2).any(1)]
+        own_set = every[ends[a] - n[a] : ends[a]]
+        for i in range(0, len(others), STEP):
+            some = others[i : i + STEP]
+            some = some[label[some] != label[a]]
+            if not len(some):
+                continue
+            theirs = np.concatenate([every[ends[b] - n[b] : ends[b]] for b in some])
+            hit = own_set[np.minimum(np.searchsorted(own_set, theirs), n[a] - 1)] == theirs
+            shared = np.add.reduceat(hit, np.cumsum(n[some]) - n[some], dtype=np.int64)
+            for b in some[100 * shared >= percent * (n[a] + n[some] - shared)]:
+                if label[b] != label[a]:
+                    out.append((node[a], node[b]))
+                    label[label == label[b]] = label[a]
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in range(2)], ["u", "v"])
+
 
+def _blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Links of every pair of blocks; rows come sorted by key, s, i, j."""
+    place, kept = None, []
     for batch in batches:
-        for r in batch.to_pylist():
-            if (now := (r["key"], r["i"], r["j"])) != key:
-                if len(rows) > 1:
-                    yield linked()
-                key, rows = now, []
-            rows.append(r)
-    if len(rows) > 1:
-        yield linked()
+        if not batch.num_rows:
+            continue
+        where = np.stack([batch[c].to_numpy().astype(np.int64) for c in ("key", "s", "i", "j")])
+        cuts = [0, *(np.flatnonzero((where[:, 1:] != where[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if (now := tuple(where[:, a].tolist())) != place:
+                if sum(x.num_rows for x in kept) > 1:
+                    yield _linked(pa.Table.from_batches(kept), place[2] == place[3], percent)
+                place, kept = now, []
+            kept.append(batch.slice(a, b - a))
+    if sum(x.num_rows for x in kept) > 1:
+        yield _linked(pa.Table.from_batches(kept), place[2] == place[3], percent)
 
 
 PAIR = "a long, b long, na long, nb long"
@@ -233,59 +246,103 @@ def whole_sets(docs: DataFrame, reps: DataFrame, nodes: DataFrame, scratch: Scra
     return scratch.save(texts.mapInArrow(_sets, "node long, set array<long>").dropDuplicates(["node"]), "sets")
 
 
-def verified(spark: SparkSession, docs: DataFrame, reps: DataFrame, pairs: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
-    """Pairs of classes whose whole sets meet ``percent``. A class with many partners is dealt over copies of its set."""
+def verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
+    """Pairs of classes whose whole ``sets`` meet ``percent``. A class with many partners is dealt over copies of its set."""
     degree = pairs.groupBy("b").agg(F.count("*").alias("d"))
-    sets = whole_sets(docs, reps, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), scratch)
     salted = pairs.join(degree, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.expr(f"ceil(d / {SALT})")).cast("int"))
     copies = sets.join(degree.select(F.col("b").alias("node"), "d"), "node").select(F.col("node").alias("b"), F.col("set").alias("sb"), F.explode(F.expr(f"sequence(0, cast(ceil(d / {SALT}) AS int) - 1)")).alias("salt"))
     both = salted.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(copies, ["b", "salt"])
     shared = both.select("a", "b", (F.col("na") + F.col("nb")).alias("total"), F.size(F.array_intersect("sa", "sb")).cast("long").alias("shared"))
     links = shared.where(F.col("shared") * 100 >= (F.col("total") - F.col("shared")) * percent)
-    return scratch.save(links.select(F.col("a").alias("u"), F.col("b").alias("v"), "shared", "total"), "verified")
+    return scratch.save(links.select(F.col("a").alias("u"), F.col("b").alias("v")), "verified")
 
 
-def clusters(spark: SparkSession, docs: DataFrame, scratch: Scratch, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(sketches of all rows, (node, component) of the classes that have a link)."""
-    small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.withColumn("h", F.xxhash64("text"))
-    sketch = scratch.save(docs.select("doc_id", "h", "text").mapInArrow(_sketch, SKETCH), "sketches")
-    # The representative of a class is a row of its least id; payloads are then fetched by id and text, which are spread evenly.
-    # A class without any known id is represented by any of its rows.
+def classes(sketch: DataFrame, scratch: Scratch) -> DataFrame:
+    """Sketches of one row of each class: of its least id, any where no id is known. Payloads are fetched by id and text, which are spread evenly."""
     least = sketch.where("n > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     unknown = sketch.where("n > 0 AND doc_id IS NULL").dropDuplicates(["node"]).join(least, "node", "left_anti")
-    reps = scratch.save(sketch.join(least, ["node", "doc_id"]).dropDuplicates(["node"]).unionByName(unknown), "classes")
+    return scratch.save(sketch.join(least, ["node", "doc_id"]).dropDuplicates(["node"]).unionByName(unknown), "classes")
+
+
+def bucketed(reps: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, band, node) of the classes that share a band's key with another one."""
     members = scratch.save(reps.select("node", F.posexplode("bands").alias("band", "key")), "bands")
-    buckets = members.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("rows")).where("rows > 1")
-    buckets = scratch.save(buckets, "buckets")
-    grouped = scratch.save(members.join(buckets, "key"), "members")
+    shared = members.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key")
+    out = scratch.save(members.join(shared, "key"), "members")
     scratch.drop(members)
+    return out
+
+
+def with_component(rows: DataFrame, found: DataFrame | None) -> DataFrame:
+    """``rows`` with the component of their node; a node without a link is one of its own."""
+    if found is None:
+        return rows.withColumn("component", F.col("node"))
+    return rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
-    star = grouped.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+
+def pivot_links(reps: DataFrame, members: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame | None:
+    """Links of classes with a pivot of each of their buckets, PIVOTS times, as components."""
     side = lambda k: reps.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("registers").alias(f"r{k}"))
-    near = lambda: F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    sized = star.join(side("a"), "a").join(side("b"), "b").where(near())
-    first = scratch.save(sized.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(lambda x: _likely(x, percent), PAIR), "star")
-    links = verified(spark, docs, reps, first, scratch, percent)
-    found = connected(links, scratch)
-
-    own = grouped.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    own = scratch.save(own.join(reps.select("node", "n"), "node").select("key", "band", "node", "n", "component", "pivot"), "placed")
-    left = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.sum("n").alias("total"))
+    near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    active, links, found = with_component(members.select("key", "node"), None), None, None
+    for _ in range(PIVOTS):
+        pivot = active.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("rows")).where("rows > 1").select("key", "pivot")
+        placed = scratch.save(active.select("key", "node").join(pivot, "key"), "pivots")
+        star = placed.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+        sized = star.join(side("a"), "a").join(side("b"), "b").where(near)
+        passed = scratch.save(sized.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(lambda x: _likely(x, percent), PAIR), "star")
+        new = verified(passed, sets, scratch, percent)
+        if not new.isEmpty():
+            links = new if links is None else links.unionByName(new)
+            found = connected(links, scratch)
+        # On with those that are not joined to the pivot, where there are two or more components of them.
+        of_pivot = with_component(placed.select("key", F.col("pivot").alias("node")).distinct(), found).select("key", F.col("component").alias("done"))
+        rest = with_component(placed.select("key", "node"), found).join(of_pivot, "key").where("component != done").drop("done")
+        several = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
+        active = scratch.save(rest.join(several, "key"), "rest")
+        if active.isEmpty():
+            break
+    return found
+
+
+def block_links(reps: DataFrame, members: DataFrame, sets: DataFrame, found: DataFrame | None, scratch: Scratch, percent: int) -> DataFrame:
+    """(u, v): links between components among the members of buckets that still hold several."""
+    own = scratch.save(with_component(members, found).join(reps.select("node", "n"), "node"), "placed")
+    left = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo != hi AND size > 2")
+    # Sizes of similar sets lie in the same step of a geometric scale or in neighbouring ones. Part s holds those of step s
+    # and, marked low, those of the step before; two low ones meet in their own part.
+    step = F.floor(F.log(F.col("n")) / F.lit(float(np.log(100 / percent)) * (1 + 1e-9))).cast("int")
+    open_ = own.join(left.select("key"), "key").withColumn("step", step).withColumn("s", F.explode(F.array("step", F.col("step") + 1))).withColumn("low", F.col("s") != F.col("step"))
     parts = F.expr(f"CAST(greatest(ceil(size / {BLOCK}), ceil(total / {BLOCK_SETS})) AS int)").alias("parts")
-    left = left.where("lo != hi AND size > 2").select("key", parts)
-    open_ = scratch.save(own.where("node != pivot").join(left, "key").withColumn("p", F.pmod(F.xxhash64("node"), "parts").cast("int")), "open")
+    sizes = open_.groupBy("key", "s").agg(F.count("*").alias("size"), F.sum("n").alias("total"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("low").alias("all_low"))
+    dealt = open_.join(sizes.where("lo != hi AND NOT all_low").select("key", "s", parts), ["key", "s"])
+    dealt = scratch.save(dealt.withColumn("p", F.pmod(F.xxhash64("node"), "parts").cast("int")), "open")
     # Block p meets all blocks: as the left side those from p on, as the right side those before it.
-    spread = open_.withColumn("q", F.explode(F.expr("sequence(0, parts - 1)"))).select(
-        "key", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), (F.col("p") > F.col("q")).cast("int").alias("side"), "node", "component", "band", "n"
+    spread = dealt.withColumn("q", F.explode(F.expr("sequence(0, parts - 1)"))).select(
+        "key", "s", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), (F.col("p") > F.col("q")).cast("int").alias("side"), "low", "node", "component", "band", "n"
     )
-    sets = whole_sets(docs, reps, open_.select("node").distinct(), scratch)
-    full = reps.select("node", "registers").join(sets.select("node", F.col("set")), "node")
+    full = reps.select("node", "registers").join(sets.join(dealt.select("node").distinct(), "node", "left_semi"), "node")
     packed = full.mapInArrow(_packed, "node long, registers binary, set binary")
-    dealt = spread.join(packed, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    rest = scratch.save(dealt.select("key", "i", "j", "side", "node", "component", "n", "registers", "band", "set").mapInArrow(lambda x: _blocks(x, percent), "u long, v long"), "blocks")
-    return sketch, connected(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(rest), scratch)
+    order = ["key", "s", "i", "j"]
+    sent = spread.join(packed, "node").repartition(*order).sortWithinPartitions(*order)
+    columns = [*order, "side", "low", "node", "component", "n", "registers", "band", "set"]
+    return scratch.save(sent.select(columns).mapInArrow(lambda x: _blocks(x, percent), "u long, v long"), "blocks")
+
+
+def clusters(spark: SparkSession, docs: DataFrame, scratch: Scratch, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """(sketches of all rows, (node, component) of the classes that have a link)."""
+    small_batches(spark)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = docs.withColumn("h", F.xxhash64("text"))
+    sketch = scratch.save(docs.select("doc_id", "h", "text").mapInArrow(_sketch, SKETCH), "sketches")
+    reps = classes(sketch, scratch)
+    members = bucketed(reps, scratch)
+    sets = whole_sets(docs, reps, members.select("node").distinct(), scratch)
+    found = pivot_links(reps, members, sets, scratch, percent)
+    links = block_links(reps, members, sets, found, scratch, percent)
+    if found is not None:
+        links = links.union(found.select(F.col("node").alias("u"), F.col("component").alias("v")))
+    return sketch, connected(links, scratch)
 
 
 def digest(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
