@@ -3,6 +3,20 @@
 All stages but the last return the columns of documents; the last adds size, source_size, target and
 taken. Stage inputs are whatever the caller reads (Parquet between stages); ``run`` writes them below
 the shared folder. SQL cannot express these stages.
+
+Odd rows, in every stage: a null text counts as an empty one and stays null where the row stays; texts of any
+length are read whole; a null doc_id, lang, source or n_chars is a value like any other; further columns are carried,
+whatever their names (but for those that the last stage adds, which replace the caller's); an empty table gives an empty
+one. Rows that are equal, and ties, per stage:
+
+- toxicity: equal texts get equal scores and go or stay together. A score of exactly one half goes. Empty texts
+  have the score of the bias.
+- near_dedup: one row of each group of texts with a similarity of PERCENT or more stays, that with the least id
+  (an id beats null; of several texts of that id the one with the least hash). Texts without a word all stay.
+- decontamination: equal texts go or stay together; empty ones stay.
+- secrets: every row is redacted by itself; of overlapping findings the first, then the longest, gives its kind.
+- mixing: equal rows are packed one after the other; which of them gets which share is no one's choice but is the
+  same in every run.
 """
 
 from __future__ import annotations
@@ -13,6 +27,9 @@ from pyspark.sql import functions as F
 from quillgraph.llm import decontam, mixing, neardup, secrets, toxicity
 from quillgraph.llm.common import Scratch, table
 
+#: Near copies share four fifths of their five-word shingles.
+PERCENT = 80
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score below one half; the model is trained on the labelled ones outside the held-out fifth."""
@@ -22,7 +39,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that with the smallest id."""
-    return neardup.deduplicated(spark, docs)
+    return neardup.deduplicated(spark, docs, PERCENT)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
