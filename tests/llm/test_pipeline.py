@@ -87,7 +87,7 @@ def test_pipeline(spark):
     frame = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r["doc_id"], r["text"], r["source"]) for r in frame.collect()]
     rows = [r for r, keep in zip(rows, kept_by_score(spark, [r[:2] for r in rows]), strict=True) if keep]
-    rows = [r for r, c in zip(rows, jaccard_components([(i, t or "", s) for i, t, s in rows]), strict=True) if c[3]]
+    rows = [r for r, c in zip(rows, jaccard_components([(i, t or "", s) for i, t, s in rows], 80), strict=True) if c[3]]
     items = [tuple(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (r["text"] or "").lower())) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     rows = [r for r in rows if not contaminated(r[1], [x for x in items if x])]
     rows = [(i, redacted(t), s) for i, t, s in rows]
@@ -123,7 +123,7 @@ def test_near_copies_leave_one_row_each(spark, docs, texts):  # noqa: F811
     kept = corpus_pipeline.drop_near_copies(spark, docs, SF).collect()
     want = Counter()
     seen = set()
-    for (i, t, _), c in zip(texts, jaccard_components(texts), strict=True):
+    for (i, t, _), c in zip(texts, jaccard_components(texts, 80), strict=True):
         if c[3] and (c[1] == 0 or (i, t) not in seen):
             seen.add((i, t))
             want[i, t] += 1
