@@ -1,10 +1,11 @@
 """The graph of notes: adjacency, walks, components, cycles.
 
-Edges are tables (a, b, kind, weight). A walk goes level by level: the frontier joins the adjacency,
-each new note keeps the smallest note that led to it, and what was reached before is anti-joined
-away. A level is written to the shared folder, so lineage stays short and a lost executor costs a
-level at most. Where the adjacency has at most LOCAL_ROWS rows (its size is read first), one task walks it
-in memory instead, so that a long chain is not one Spark job per note; results are equal.
+Edges are tables (a, b, kind, weight). A walk deals the pairs of notes over tasks by name, EDGES_PER_TASK
+each, so that notes of a folder mostly lie together. A task walks its own edges to the end, however long
+the way; what it finds out about notes that other tasks hold too goes to those, until nothing gets nearer.
+So a walk takes as many rounds as a shortest path leaves and enters parts, not one for each of its notes.
+Predecessors follow from the depths by a join. What depends on ancestors (paths, what lies below a note)
+is made by doubling the way up, in as many rounds as the depth has binary digits.
 """
 
 from __future__ import annotations
@@ -21,9 +22,8 @@ from pyspark.sql import functions as F
 from ..scratch import Scratch
 from .components import connected
 
-#: Rows of adjacency that one task holds: about 50 bytes each for short names.
-LOCAL_ROWS = 1 << 21
-REACHED = "note string, depth int, via string"
+#: Pairs of notes that one task holds: about 100 bytes each for short names.
+EDGES_PER_TASK = 1 << 20
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -54,37 +54,46 @@ def degrees(adjacent: DataFrame) -> DataFrame:
 
 
 class _Codes:
-    """Names as ranks in their order, and neighbours by rank."""
+    """Names as numbers, and the neighbours of each, both ways."""
 
     def __init__(self, note: pa.ChunkedArray, other: pa.ChunkedArray, more: pa.ChunkedArray):
-        names = pc.unique(pa.chunked_array([*note.chunks, *other.chunks, *more.chunks], pa.string()))
-        self.names = names.take(pc.sort_indices(names))
-        rank = lambda x: pc.index_in(x, self.names).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64) if len(x) else np.zeros(0, np.int64)
-        a, b = rank(note), rank(other)
-        order = np.lexsort((b, a))
-        self.a, self.b, self.more = a[order], b[order], rank(more)
+        self.names = pc.unique(pa.chunked_array([*note.chunks, *other.chunks, *more.chunks], pa.string()))
+        number = lambda x: pc.index_in(x, self.names).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64) if len(x) else np.zeros(0, np.int64)
+        x, y = number(note), number(other)
+        self.a, self.b = np.concatenate([x, y]), np.concatenate([y, x])
+        order = np.argsort(self.a, kind="stable")
+        self.a, self.b, self.more = self.a[order], self.b[order], number(more)
         self.first = np.searchsorted(self.a, np.arange(len(self.names) + 1))
 
-    def around(self, notes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(note, neighbour) of all neighbours of ``notes``."""
+    def around(self, notes: np.ndarray) -> np.ndarray:
+        """Neighbours of ``notes``."""
         n = self.first[notes + 1] - self.first[notes]
-        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[notes], n)
-        return np.repeat(notes, n), self.b[at]
-
-    def walk(self, seeds: np.ndarray, most: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """(depth, predecessor) by rank; -1 where there is none."""
-        depth, via = np.full(len(self.names), -1), np.full(len(self.names), -1)
-        frontier, d = np.unique(seeds), 0
-        depth[frontier] = 0
-        while len(frontier) and (most is None or d < most):
+        return self.b[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[notes], n)]
+
+    def walk(self, given: np.ndarray, most: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """(notes that got nearer, their depths), from the notes ``more`` at depths ``given``."""
+        far = np.iinfo(np.int64).max
+        depth = np.full(len(self.names), far)
+        np.minimum.at(depth, self.more, given)
+        before, order = depth.copy(), np.argsort(given, kind="stable")
+        seeds, levels, at = self.more[order], given[order], 0
+        frontier, d = seeds[:0], 0
+        while True:
+            if not len(frontier):
+                if at == len(seeds):
+                    break
+                d = int(levels[at])
+            till = int(np.searchsorted(levels, d, "right"))
+            frontier = np.unique(np.concatenate([frontier, seeds[at:till][depth[seeds[at:till]] == d]]))
+            at = max(at, till)
+            if most is not None and d >= most:
+                break
+            to = self.around(frontier)
+            frontier = np.unique(to[depth[to] > d + 1])
             d += 1
-            came, to = self.around(frontier)
-            new = depth[to] < 0
-            came, to = came[new], to[new]
-            order = np.lexsort((came, to))
-            frontier, least = np.unique(to[order], return_index=True)
-            depth[frontier], via[frontier] = d, came[order][least]
-        return depth, via
+            depth[frontier] = d
+        nearer = np.flatnonzero(depth < before)
+        return nearer, depth[nearer]
 
     def components(self) -> np.ndarray:
         label = np.arange(len(self.names))
@@ -98,52 +107,39 @@ class _Codes:
             label = low
 
 
-def _tables(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
-    found = list(batches)
-    return pa.Table.from_batches(found) if found else None
-
-
-def _named(codes: _Codes, ranks: np.ndarray) -> pa.Array:
-    return codes.names.take(pa.array(ranks, mask=ranks < 0))
-
-
 def _walker(most: int | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (t := _tables(batches)) is not None:
-            real = t.filter(pc.is_valid(t["other"]))
-            codes = _Codes(real["note"], real["other"], t.filter(pc.is_null(t["other"]))["note"])
-            depth, via = codes.walk(codes.more, most)
-            at = np.flatnonzero(depth >= 0)
-            yield pa.RecordBatch.from_arrays([codes.names.take(pa.array(at)), pa.array(depth[at], pa.int32()), _named(codes, via[at])], ["note", "depth", "via"])
+    def run(t: pa.Table) -> pa.Table:
+        edges, seeds = t.filter(pc.is_null(t["depth"])), t.filter(pc.is_valid(t["depth"]))
+        codes = _Codes(edges["note"], edges["other"], seeds["note"])
+        at, depth = codes.walk(seeds["depth"].to_numpy().astype(np.int64), most)
+        return pa.table({"note": codes.names.take(pa.array(at)), "depth": pa.array(depth, pa.int32())})
 
     return run
 
 
-def _component_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    if (t := _tables(batches)) is not None:
-        codes = _Codes(t["note"], t["other"], t["note"].slice(0, 0))
-        yield pa.RecordBatch.from_arrays([codes.names, codes.names.take(pa.array(codes.components()))], ["note", "component"])
-
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (u, v) of a task as stars around the least note of what they join; as few as there are notes."""
 
-def _single(df: DataFrame) -> DataFrame:
-    return df.coalesce(1)
+    def stars(some: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(some)
+        codes = _Codes(t["u"], t["v"], t["u"].slice(0, 0))
+        label, rank = codes.components(), np.empty(len(codes.names), np.int64)
+        rank[pc.sort_indices(codes.names).to_numpy()] = np.arange(len(rank))
+        least = np.full(len(rank), len(rank))
+        np.minimum.at(least, label, rank)
+        root = np.argsort(rank)[least[label]]
+        at = np.flatnonzero(root != np.arange(len(root)))
+        return pa.RecordBatch.from_arrays([codes.names.take(pa.array(at)), codes.names.take(pa.array(root[at]))], ["u", "v"])
 
-
-def _levels(adjacent: DataFrame, seeds: DataFrame, most: int | None, scratch: Scratch) -> DataFrame:
-    """The walk as a job per level."""
-    spark, root = adjacent.sparkSession, scratch.path("levels")
-    seeds.select(F.col("note"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via")).distinct().write.parquet(f"{root}/level=0")
-    d = 0
-    while True:
-        reached = spark.read.schema(REACHED).parquet(*[f"{root}/level={k}" for k in range(d + 1)])
-        if most is not None and d >= most:
-            return reached
-        frontier = spark.read.schema(REACHED).parquet(f"{root}/level={d}").select("note")
-        step = frontier.join(adjacent, "note").groupBy("other").agg(F.min("note").alias("via")).select(F.col("other").alias("note"), F.lit(d + 1).alias("depth"), "via")
-        step.join(reached.select("note"), "note", "left_anti").write.parquet(f"{root}/level={d + 1}")
-        if spark.read.schema(REACHED).parquet(f"{root}/level={d + 1}").isEmpty():
-            return reached
-        d += 1
+    some, n = [], 0
+    for batch in batches:
+        some.append(batch)
+        n += batch.num_rows
+        if n >= EDGES_PER_TASK:
+            yield stars(some)
+            some, n = [], 0
+    if n:
+        yield stars(some)
 
 
 @dataclass
@@ -168,65 +164,82 @@ class Reach:
         return beyond.agg((F.count("*") > 0).alias("truncated"))
 
 
-def reach(adjacent: DataFrame, seeds: DataFrame, bound: int | None = None, scratch: Scratch | None = None, local_rows: int = LOCAL_ROWS) -> Reach:
-    """Multi-source breadth-first walk from ``seeds`` (note) over (note, other); no seeds reach nothing."""
+def reach(adjacent: DataFrame, seeds: DataFrame, bound: int | None = None, scratch: Scratch | None = None) -> Reach:
+    """Multi-source breadth-first walk from ``seeds`` (note) over (note, other), both ways; no seeds reach nothing.
+
+    Of the notes a step nearer to a seed, the least is the one a note was reached by.
+    """
     scratch = scratch or Scratch(adjacent.sparkSession, "walk")
     adjacent = scratch.save(adjacent, "adjacency")
-    seeds = seeds.select("note").distinct()
-    if adjacent.count() <= local_rows:
-        rows = adjacent.unionByName(seeds.select("note", F.lit(None).cast("string").alias("other")))
-        found = scratch.save(_single(rows).mapInArrow(_walker(bound), REACHED), "reached")
+    seeds = scratch.save(seeds.select("note").distinct(), "seeds")
+    parts = max(1, -(-adjacent.count() // (2 * EDGES_PER_TASK)))
+    pairs = adjacent.where("note < other").repartitionByRange(parts, "note", "other")
+    edges = scratch.save(pairs.select(F.spark_partition_id().alias("part"), "note", "other"), "parts")
+    known = seeds.select("note", F.lit(0).alias("depth"))
+    if parts == 1:  # no note lies in another part
+        known = known.unionByName(_walked(edges, known.withColumn("part", F.lit(0)), bound, scratch))
     else:
-        found = _levels(adjacent, scratch.save(seeds, "seeds"), bound, scratch)
-    return Reach(found, adjacent, seeds, bound)
-
-
-def _pather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    if (t := _tables(batches)) is not None:
-        t = t.sort_by([("depth", "ascending"), ("note", "ascending")])
-        names, depths, vias = (t[c].to_pylist() for c in ("note", "depth", "via"))
-        trail: dict[str, list[str]] = {}
-        for a in range(0, len(names), 1024):
-            out = []
-            for n, v in zip(names[a : a + 1024], vias[a : a + 1024], strict=True):
-                trail[n] = [*trail[v], n] if v is not None else [n]
-                out.append(trail[n])
-            yield pa.RecordBatch.from_arrays([pa.array(names[a : a + 1024], pa.string()), pa.array(depths[a : a + 1024], pa.int32()), pa.array(out, pa.list_(pa.string()))], ["note", "depth", "path"])
-
-
-def paths(found: Reach, scratch: Scratch, local_rows: int = 1 << 16) -> DataFrame:
-    """(note, depth, path): a shortest path to each reached note, by predecessors; beyond ``local_rows`` a join per level."""
-    reached = found.reached
-    if reached.count() <= local_rows:
-        return _single(reached).mapInArrow(_pather, "note string, depth int, path array<string>")
-    deepest = reached.agg(F.max("depth")).first()[0]
-    levels = [scratch.save(reached.where("depth = 0").select("note", "depth", F.array("note").alias("path")), "paths")]
-    for d in range(1, deepest + 1):
-        before = levels[-1].select(F.col("note").alias("via"), "path")
-        levels.append(scratch.save(reached.where(F.col("depth") == d).join(before, "via").select("note", "depth", F.concat("path", F.array("note")).alias("path")), "paths"))
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out
+        known = _exchanged(edges, known, bound, scratch)
+    nearer = known.select(F.col("note").alias("other"), (F.col("depth") + 1).alias("depth"))
+    via = known.where("depth > 0").join(adjacent, "note").join(nearer, ["other", "depth"]).groupBy("note", "depth").agg(F.min("other").alias("via"))
+    found = seeds.select("note", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via")).unionByName(via)
+    return Reach(scratch.save(found, "reached"), adjacent, seeds, bound)
+
+
+def _walked(edges: DataFrame, start: DataFrame, bound: int | None, scratch: Scratch) -> DataFrame:
+    """(note, depth) of what got nearer in each part, from ``start`` (part, note, depth)."""
+    rows = edges.select("part", "note", "other", F.lit(None).cast("int").alias("depth")).unionByName(start.select("part", "note", F.lit(None).cast("string").alias("other"), "depth"))
+    return scratch.save(rows.groupBy("part").applyInArrow(_walker(bound), "note string, depth int"), "walked")
 
 
-def components(adjacent: DataFrame, scratch: Scratch | None = None, local_rows: int = LOCAL_ROWS) -> DataFrame:
+def _exchanged(edges: DataFrame, known: DataFrame, bound: int | None, scratch: Scratch) -> DataFrame:
+    """Depths of all notes that are reached, by walks within parts and exchanges between them."""
+    ends = edges.select("part", F.explode(F.array("note", "other")).alias("note")).distinct()
+    ends = scratch.save(ends, "ends")
+    several = ends.groupBy("note").agg(F.count("*").alias("n")).where("n > 1").select("note")
+    border = scratch.save(ends.join(several, "note"), "border")
+    start = scratch.save(ends.join(known, "note"), "start")
+    while not start.isEmpty():
+        active = edges.join(start.select("part").distinct(), "part", "left_semi")
+        met = _walked(active, start, bound, scratch).groupBy("note").agg(F.min("depth").alias("depth"))
+        was = known.select("note", F.col("depth").alias("was"))
+        fresh = scratch.save(met.join(was, "note", "left").where("was IS NULL OR depth < was").select("note", "depth"), "fresh")
+        known = scratch.save(known.unionByName(fresh).groupBy("note").agg(F.min("depth").alias("depth")), "known")
+        start = scratch.save(border.join(fresh, "note"), "start")
+    return known
+
+
+def _rounds(reached: DataFrame) -> int:
+    return int(reached.agg(F.max("depth")).first()[0] or 0).bit_length()
+
+
+def paths(found: Reach, scratch: Scratch) -> DataFrame:
+    """(note, depth, path): a shortest path to each reached note, by predecessors.
+
+    Each round prepends the path of the note that a path begins below, so its length doubles.
+    """
+    now = found.reached.select("note", "depth", F.col("via").alias("up"), F.array("note").alias("path"))
+    for _ in range(_rounds(found.reached)):
+        above = now.select(F.col("note").alias("up"), F.col("up").alias("next"), F.col("path").alias("head"))
+        longer = now.where("up IS NOT NULL").join(above, "up").select("note", "depth", F.col("next").alias("up"), F.concat("head", "path").alias("path"))
+        now = scratch.save(now.where("up IS NULL").unionByName(longer), "paths")
+    return now.select("note", "depth", "path")
+
+
+def components(adjacent: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(note, component) of all notes with an edge; a component is named by its least note.
 
-    Beyond ``local_rows`` by steps over the table of links.
+    Tasks first contract what they hold, so that fewer links go on to the steps over the whole table.
     """
     scratch = scratch or Scratch(adjacent.sparkSession, "components")
-    adjacent = scratch.save(adjacent.select("note", "other"), "adjacency")
-    if adjacent.count() <= local_rows:
-        return scratch.save(_single(adjacent).mapInArrow(_component_task, "note string, component string"), "components")
     links = adjacent.where("note > other").select(F.col("note").alias("u"), F.col("other").alias("v"))
-    return connected(links, scratch).select(F.col("node").alias("note"), "component")
+    return connected(links.mapInArrow(_contract, "u string, v string"), scratch).select(F.col("node").alias("note"), "component")
 
 
-def forest(adjacent: DataFrame, scratch: Scratch, local_rows: int = LOCAL_ROWS) -> Reach:
+def forest(adjacent: DataFrame, scratch: Scratch) -> Reach:
     """A breadth-first walk from the least note of every component."""
-    roots = components(adjacent, scratch, local_rows).select(F.col("component").alias("note")).distinct()
-    return reach(adjacent, roots, None, scratch, local_rows)
+    roots = components(adjacent, scratch).select(F.col("component").alias("note")).distinct()
+    return reach(adjacent, roots, None, scratch)
 
 
 def _labels(pairs: DataFrame) -> DataFrame:
@@ -235,55 +248,38 @@ def _labels(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array(F.struct(F.col("note"), label.alias("x")), F.struct(F.col("other").alias("note"), label.alias("x")))).alias("e")).select("e.*")
 
 
-def cycle_notes(adjacent: DataFrame, scratch: Scratch | None = None, local_rows: int = LOCAL_ROWS) -> DataFrame:
+def cycle_notes(adjacent: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(note) of every note that lies on a cycle, that is, with an edge that is no bridge.
 
     Each edge outside a spanning forest gets a 64-bit label. The XOR of the labels at the notes below
     a tree edge is that of the edges that leave it, so it is 0 for a bridge (and for others with a
-    probability of 2**-64). The sums climb the forest level by level.
+    probability of 2**-64).
     """
     scratch = scratch or Scratch(adjacent.sparkSession, "cycles")
-    tree = forest(adjacent, scratch, local_rows)
+    tree = forest(adjacent, scratch)
     adjacent, reached = tree.adjacent, tree.reached
     pairs = adjacent.where("note < other")
     of_tree = reached.where("via IS NOT NULL").select(F.least("note", "via").alias("note"), F.greatest("note", "via").alias("other"))
     extra = scratch.save(pairs.join(of_tree, ["note", "other"], "left_anti"), "extra")
-    own = scratch.save(_labels(extra).groupBy("note").agg(F.bit_xor("x").alias("x")), "labels")
+    own = _labels(extra).groupBy("note").agg(F.bit_xor("x").alias("x"))
     placed = reached.join(own, "note", "left").select("note", "depth", "via", F.coalesce("x", F.lit(0).cast("long")).alias("x"))
-    if reached.count() <= local_rows:
-        covered = scratch.save(_single(placed).mapInArrow(_climb, "note string, via string"), "covered")
-    else:
-        covered = _climbed(scratch.save(placed, "placed"), scratch)
+    covered = _below(scratch.save(placed, "placed"), scratch).where("x != 0 AND via IS NOT NULL")
     ends = covered.select(F.explode(F.array("note", "via")).alias("note")).union(extra.select(F.explode(F.array("note", "other"))))
     return ends.distinct()
 
 
-def _climb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    if (t := _tables(batches)) is not None:
-        t = t.sort_by([("depth", "descending"), ("note", "ascending")])
-        names, via = t["note"].combine_chunks(), t["via"].combine_chunks()
-        up = pc.fill_null(pc.index_in(via, names), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-        x, depth = t["x"].to_numpy().copy(), t["depth"].to_numpy()
-        cuts = np.flatnonzero(np.diff(depth)) + 1
-        for a, b in zip([0, *cuts], [*cuts, len(x)], strict=True):
-            below = up[a:b] >= 0
-            np.bitwise_xor.at(x, up[a:b][below], x[a:b][below])
-        at = pa.array(np.flatnonzero((x != 0) & (up >= 0)))
-        yield pa.RecordBatch.from_arrays([names.take(at), via.take(at)], ["note", "via"])
-
-
-def _climbed(placed: DataFrame, scratch: Scratch) -> DataFrame:
-    deepest = placed.agg(F.max("depth")).first()[0] or 0
-    out, above = None, None
-    for d in range(deepest, 0, -1):
-        level = placed.where(F.col("depth") == d).select("note", "via", "x")
-        if above is not None:
-            level = level.join(above, "note", "left").select("note", "via", F.col("x").bitwiseXOR(F.coalesce("more", F.lit(0).cast("long"))).alias("x"))
-        level = scratch.save(level, "climb")
-        above = level.groupBy("via").agg(F.bit_xor("x").alias("more")).withColumnRenamed("via", "note")
-        kept = level.where("x != 0").select("note", "via")
-        out = kept if out is None else out.unionByName(kept)
-    return out if out is not None else placed.where("depth < 0").select("note", "via")
+def _below(placed: DataFrame, scratch: Scratch) -> DataFrame:
+    """``placed`` (note, depth, via, x) with the XOR of x over each note and all below it.
+
+    After k rounds a note has what is less than 2**k levels below; those just so many levels below add theirs.
+    """
+    now = placed.withColumn("up", F.col("via"))
+    for _ in range(_rounds(placed)):
+        more = now.where("up IS NOT NULL").groupBy(F.col("up").alias("note")).agg(F.bit_xor("x").alias("more"))
+        above = now.select(F.col("note").alias("up"), F.col("up").alias("next"))
+        step = now.join(above, "up", "left").join(more, "note", "left")
+        now = scratch.save(step.select("note", "depth", "via", F.col("x").bitwiseXOR(F.coalesce("more", F.lit(0).cast("long"))).alias("x"), F.col("next").alias("up")), "below")
+    return now.drop("up")
 
 
 def has_cycle(adjacent: DataFrame, scratch: Scratch | None = None) -> DataFrame:

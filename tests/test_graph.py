@@ -1,4 +1,4 @@
-"""Walks, components and cycles against plain Python, in one task and level by level."""
+"""Walks, components and cycles against plain Python, in one part and in many."""
 
 import random
 import time
@@ -40,19 +40,20 @@ def random_pairs(seed, n=40, m=45):
     return [(f"n{rng.randrange(n):02d}", f"n{rng.randrange(n):02d}") for _ in range(m)]
 
 
-@pytest.mark.parametrize("local", [graph.LOCAL_ROWS, -1])
+@pytest.mark.parametrize("size", [1 << 20, 10, 1])
 @pytest.mark.parametrize("bound", [None, 0, 2])
-def test_reach(spark, local, bound):
+def test_reach(spark, monkeypatch, size, bound):
+    monkeypatch.setattr(graph, "EDGES_PER_TASK", size)
     pairs = random_pairs(5)
     adj = adjacency(spark, pairs)
     seeds = ["n03", "n11", "unknown"]
-    found = graph.reach(adj, spark.createDataFrame([(s,) for s in seeds], "note string"), bound, local_rows=local)
+    found = graph.reach(adj, spark.createDataFrame([(s,) for s in seeds], "note string"), bound)
     got = {r["note"]: (r["depth"], r["via"]) for r in found.reached.collect()}
     assert got == walk(pairs, seeds, bound)
     notes = spark.createDataFrame([(f"n{i:02d}",) for i in range(40)], "note string")
     assert {r[0] for r in found.left_out(notes).collect()} == {f"n{i:02d}" for i in range(40)} - set(got)
     assert found.truncated().first()[0] == (len(walk(pairs, seeds)) > len(got))
-    trails = {r["note"]: r["path"] for r in graph.paths(found, Scratch(spark, "t"), local_rows=local if local < 0 else 1 << 16).collect()}
+    trails = {r["note"]: r["path"] for r in graph.paths(found, Scratch(spark, "t")).collect()}
     for n, (d, via) in got.items():
         assert trails[n] == ([*trails[via], n] if via else [n]) and len(trails[n]) == d + 1
 
@@ -90,10 +91,31 @@ def roots(pairs):
     return {x: root(x) for x in up}
 
 
-@pytest.mark.parametrize("local", [graph.LOCAL_ROWS, -1])
-def test_components(spark, local):
+def test_a_chain_over_many_parts_among_other_edges(spark, monkeypatch):
+    """A chain that crosses parts, between stars and short rings, in few rounds and without a job for each note."""
+    monkeypatch.setattr(graph, "EDGES_PER_TASK", 8_000)
+    n = 20_000
+    name = lambda c, v: F.concat(F.lit(c), F.format_string("%07d", v))
+    i = F.col("id")
+    chain = spark.range(n).select(name("m", i).alias("a"), name("m", i + 1).alias("b"))
+    rings = spark.range(60_000).select(name("c", i).alias("a"), name("c", F.expr("id - id % 6 + (id + 1) % 6")).alias("b"))
+    star = spark.range(20_000).select(F.lit("hub").alias("a"), name("z", i).alias("b"))
+    edges = chain.union(rings).union(star).union(spark.createDataFrame([("hub", f"m{n // 2:07d}")], "a string, b string"))
+    adj = graph.adjacency(edges.withColumns({"kind": F.lit("link"), "weight": F.lit(1.0)}))
+    rounds = []
+    walked = graph._walked
+    monkeypatch.setattr(graph, "_walked", lambda *args: rounds.append(1) or walked(*args))
+    found = graph.reach(adj, spark.createDataFrame([("m0000000",)], "note string"))
+    assert len(rounds) < 12
+    got = found.reached.agg(F.count("*"), F.max("depth"), F.sum("depth")).first()
+    assert tuple(got) == (n + 1 + 1 + 20_000, n, n * (n + 1) // 2 + (n // 2 + 1) + 20_000 * (n // 2 + 2))
+    wrong = found.reached.where("note LIKE 'm%' AND depth > 0").where(F.col("via") != name("m", F.col("depth") - 1))
+    assert wrong.isEmpty()
+
+
+def test_components(spark):
     pairs = random_pairs(8, 60, 40)
-    got = {r["note"]: r["component"] for r in graph.components(adjacency(spark, pairs), local_rows=local).collect()}
+    got = {r["note"]: r["component"] for r in graph.components(adjacency(spark, pairs)).collect()}
     assert got == roots(pairs)
 
 
@@ -107,12 +129,13 @@ def on_cycle(pairs):
     return out
 
 
-@pytest.mark.parametrize(("local", "seed", "m"), [(graph.LOCAL_ROWS, 1, 30), (graph.LOCAL_ROWS, 2, 45), (-1, 3, 26), (graph.LOCAL_ROWS, 4, 20)])
-def test_cycle_notes(spark, local, seed, m):
+@pytest.mark.parametrize(("size", "seed", "m"), [(1 << 20, 1, 30), (1 << 20, 2, 45), (4, 3, 26), (1 << 20, 4, 20)])
+def test_cycle_notes(spark, monkeypatch, size, seed, m):
+    monkeypatch.setattr(graph, "EDGES_PER_TASK", size)
     pairs = random_pairs(seed, 24, m)
     adj = adjacency(spark, pairs)
     want = on_cycle(pairs)
-    assert {r[0] for r in graph.cycle_notes(adj, local_rows=local).collect()} == want
+    assert {r[0] for r in graph.cycle_notes(adj).collect()} == want
     assert graph.has_cycle(adj).first()["has_cycle"] == bool(want)
 
 
