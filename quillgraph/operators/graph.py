@@ -71,11 +71,11 @@ class _Codes:
         return self.b[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[notes], n)]
 
     def walk(self, given: np.ndarray, most: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """(notes that got nearer, their depths), from the notes ``more`` at depths ``given``."""
+        """(notes that are reached, their depths), from the notes ``more`` at depths ``given``."""
         far = np.iinfo(np.int64).max
         depth = np.full(len(self.names), far)
         np.minimum.at(depth, self.more, given)
-        before, order = depth.copy(), np.argsort(given, kind="stable")
+        order = np.argsort(given, kind="stable")
         seeds, levels, at = self.more[order], given[order], 0
         frontier, d = seeds[:0], 0
         while True:
@@ -92,8 +92,8 @@ class _Codes:
             frontier = np.unique(to[depth[to] > d + 1])
             d += 1
             depth[frontier] = d
-        nearer = np.flatnonzero(depth < before)
-        return nearer, depth[nearer]
+        reached = np.flatnonzero(depth < far)
+        return reached, depth[reached]
 
     def components(self) -> np.ndarray:
         label = np.arange(len(self.names))
@@ -170,24 +170,24 @@ def reach(adjacent: DataFrame, seeds: DataFrame, bound: int | None = None, scrat
     Of the notes a step nearer to a seed, the least is the one a note was reached by.
     """
     scratch = scratch or Scratch(adjacent.sparkSession, "walk")
-    adjacent = scratch.save(adjacent, "adjacency")
-    seeds = scratch.save(seeds.select("note").distinct(), "seeds")
+    adjacent, seeds = scratch.save(adjacent, "adjacency"), seeds.select("note").distinct()
     parts = max(1, -(-adjacent.count() // (2 * EDGES_PER_TASK)))
-    pairs = adjacent.where("note < other").repartitionByRange(parts, "note", "other")
-    edges = scratch.save(pairs.select(F.spark_partition_id().alias("part"), "note", "other"), "parts")
-    known = seeds.select("note", F.lit(0).alias("depth"))
+    pairs, start = adjacent.where("note < other"), seeds.select("note", F.lit(0).alias("depth"))
     if parts == 1:  # no note lies in another part
-        known = known.unionByName(_walked(edges, known.withColumn("part", F.lit(0)), bound, scratch))
+        known = _walked(pairs.withColumn("part", F.lit(0)), start.withColumn("part", F.lit(0)), bound, scratch)
     else:
-        known = _exchanged(edges, known, bound, scratch)
-    nearer = known.select(F.col("note").alias("other"), (F.col("depth") + 1).alias("depth"))
-    via = known.where("depth > 0").join(adjacent, "note").join(nearer, ["other", "depth"]).groupBy("note", "depth").agg(F.min("other").alias("via"))
-    found = seeds.select("note", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via")).unionByName(via)
-    return Reach(scratch.save(found, "reached"), adjacent, seeds, bound)
+        dealt = pairs.repartitionByRange(parts, "note", "other").select(F.spark_partition_id().alias("part"), "note", "other")
+        known = _exchanged(scratch.save(dealt, "parts"), scratch.save(start, "seeds"), bound, scratch)
+    # The nearest of a note's neighbours is a step nearer than the note; seeds have none.
+    at = lambda depth, via: F.struct(depth.alias("depth"), via.alias("via")).alias("x")
+    led = known.join(adjacent, "note").select(F.col("other").alias("note"), at(F.col("depth"), F.col("note")))
+    own = known.where("depth = 0").select("note", at(F.lit(-1), F.lit(None).cast("string")))
+    found = led.unionByName(own).groupBy("note").agg(F.min("x").alias("x")).select("note", (F.col("x.depth") + 1).alias("depth"), "x.via")
+    return Reach(scratch.save(found if bound is None else found.where(F.col("depth") <= bound), "reached"), adjacent, seeds, bound)
 
 
 def _walked(edges: DataFrame, start: DataFrame, bound: int | None, scratch: Scratch) -> DataFrame:
-    """(note, depth) of what got nearer in each part, from ``start`` (part, note, depth)."""
+    """(note, depth) of what each part reaches from ``start`` (part, note, depth), that included."""
     rows = edges.select("part", "note", "other", F.lit(None).cast("int").alias("depth")).unionByName(start.select("part", "note", F.lit(None).cast("string").alias("other"), "depth"))
     return scratch.save(rows.groupBy("part").applyInArrow(_walker(bound), "note string, depth int"), "walked")
 
@@ -198,7 +198,7 @@ def _exchanged(edges: DataFrame, known: DataFrame, bound: int | None, scratch: S
     ends = scratch.save(ends, "ends")
     several = ends.groupBy("note").agg(F.count("*").alias("n")).where("n > 1").select("note")
     border = scratch.save(ends.join(several, "note"), "border")
-    start = scratch.save(ends.join(known, "note"), "start")
+    start = scratch.save(ends.join(known, "note"), "start")  # seeds without an edge are known, and lead nowhere
     while not start.isEmpty():
         active = edges.join(start.select("part").distinct(), "part", "left_semi")
         met = _walked(active, start, bound, scratch).groupBy("note").agg(F.min("depth").alias("depth"))
