@@ -1,7 +1,7 @@
 """A question's turn: refresh, seeds, walk, evidence, and an answer, its parts, or a refusal.
 
 Everything up to the evidence is a plan over the whole corpus; what comes to the driver is at most
-the evidence and the names that a refusal shows. The phraser is called once, and only where the graph
+the evidence, or the names of a refusal, which are what a session records. The phraser is called once, and only where the graph
 has more than one note beyond the seeds to answer from.
 """
 
@@ -19,7 +19,6 @@ from ..sources.sessions import NEXT, Session
 from ..sources.store import Read, Store
 from .model import Citation, Evidence, Reply
 
-SHOWN = 100
 WHY = {
     "unconnected": "it has words of the question and leads nowhere else",
     "thin": "the walk came here and found too little around it",
@@ -29,7 +28,7 @@ WHY = {
 
 @dataclass
 class Outcome:
-    """kind: answer, parts, absent, unconnected or thin. ``nearest`` has (note, why), the first SHOWN."""
+    """kind: answer, parts, absent, unconnected or thin. ``nearest`` has (note, why) of all that a refusal names."""
 
     kind: str
     text: str = ""
@@ -105,7 +104,7 @@ def turn(question: str, store: Store, phrase: Phraser, session: Session | None =
         ground = (len(picked) - through, through, retrieval.leaders(seeds).first()["agree"])
     out = Turn(question, Outcome("absent"), n_seeds, n_reached, evidence, max(0, n_reached - len(evidence)), told, grounding=ground)
     beyond = n_reached - n_seeds
-    names = lambda df, *order: [r[0] for r in df.orderBy(*order).limit(SHOWN).collect()]
+    names = lambda df, *order: [r[0] for r in df.orderBy(*order).toLocalIterator()]
     if n_seeds == 0:
         out.outcome = Outcome("absent", "Your notes do not speak of this.")
     elif beyond < retrieval.MIN_BEYOND:

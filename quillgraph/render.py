@@ -11,7 +11,7 @@ from .plans.trial import Attempt, Gathered
 from .plans.turn import Turn
 from .sources.store import Read
 
-ALONE, SUBJECTS, TOUCHES, RELATED = 10, 12, 4, 10
+ALONE, SUBJECTS, TOUCHES, RELATED, NEAREST = 10, 12, 4, 10, 100
 SHARES = {0.5: "half", 0.75: "three quarters", 0.9: "nine tenths"}
 
 
@@ -54,7 +54,7 @@ def turn(t: Turn) -> str:
         lines.append("No sentence of the notes answers this whole. What bears on it:")
     lines += [f"  {c.path}: {flat(c.quote)}" for c in o.citations]
     if o.nearest:
-        lines += ["Near, but no answer:", *(f"  {note}: {why}" for note, why in o.nearest)]
+        lines += ["Near, but no answer:", *listed([f"{note}: {why}" for note, why in o.nearest[:NEAREST]], len(o.nearest))]
     if o.redirect_to:
         lines.append(f"Ask about {o.redirect_to} instead?")
     if o.wants:

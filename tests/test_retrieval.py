@@ -118,13 +118,21 @@ REPLIES = [
 ]
 
 
-def test_replies_in_bulk_equal_single_ones(spark):
-    evidence = [("a.md", ""), ("b.md", "")]
+SAID = [
+    ("A b.", [("a.md", "A b."), ("b.md", "C")]), ("NOT in note!", []), ("x", [("3", "A"), ("two", "B")]), ("x", [("true", "A")]), ("x", [("none", "B")]),
+    ("", []), ("", []), ("", []), ("", []), ("", [("a.md", "q")]), ("", []),
+]
+
+
+def test_replies_in_bulk_and_one_by_one(spark):
+    evidence = [("a.md", "A b. C"), ("b.md", "")]
     df = spark.createDataFrame([(i, r, ["a.md", "b.md"]) for i, r in enumerate(REPLIES)], "answer_id int, reply string, paths array<string>")
     for r in answers.parsed(df).collect():
-        one = model.parse(REPLIES[r["answer_id"]], evidence)
         got = [(c["path"].lower(), c["quote"]) for c in r["citations"]]
-        assert (r["answer"], got) == (one.text, [(c.path.lower(), c.quote) for c in one.citations]), REPLIES[r["answer_id"]]
+        assert (r["answer"], got) == SAID[r["answer_id"]], REPLIES[r["answer_id"]]
+    for k in (0, 3, 5):
+        one = model.understood(REPLIES[k], evidence)
+        assert (one.text, [(c.path.lower(), c.quote) for c in one.citations], one.whole) == (*SAID[k], k == 0)
 
 
 def test_citations(spark):
@@ -137,11 +145,10 @@ def test_citations(spark):
     assert [tuple(r) for r in answers.kept_parts(found).select("answer_id", "quote").collect()] == [(2, "One two")]
 
 
-@pytest.mark.parametrize("said", ["Two three.", "two three", "two\n three..", "", ".", "four"])
-def test_copied(spark, said):
-    evidence = [("a", "One two  three. End")]
-    got = spark.range(1).select(answers.copied(F.lit(said), F.array(F.lit(evidence[0][1])))).first()[0]
-    assert got == model.is_copied(said, evidence)
+@pytest.mark.parametrize(("said", "want"), [("Two three.", False), ("two three", True), ("two\n three..", True), ("", False), (".", False), ("four", False)])
+def test_copied(spark, said, want):
+    got = spark.range(1).select(answers.copied(F.lit(said), F.array(F.lit("One two  three. End")))).first()[0]
+    assert got == want
 
 
 def test_prompt_and_shape():

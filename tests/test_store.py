@@ -248,7 +248,7 @@ def test_command_line(spark, tmp_path):
     assert cli.main(["--branch", str(tmp_path / "none"), "index"], io.StringIO(), io.StringIO(), spark) == 2
 
 
-def test_server_is_asked_once(tmp_path):
+def test_server_is_asked_once(spark, tmp_path):
     seen = []
 
     class Stub(BaseHTTPRequestHandler):
