@@ -29,6 +29,10 @@ def linked(spark: SparkSession, sf_dir: str) -> Corpus:
     return Corpus(fixtures.linked_notes(spark, sf_dir).select("note_id", "text"))
 
 
+def styled(spark: SparkSession, sf_dir: str) -> Corpus:
+    return Corpus(fixtures.styled_notes(spark, sf_dir))
+
+
 # Text
 
 
@@ -129,6 +133,42 @@ def dangling_links(spark, sf_dir):
     return linked(spark, sf_dir).dangling
 
 
+@query
+def styled_targets(spark, sf_dir):
+    return links.targets(fixtures.styled_notes(spark, sf_dir))
+
+
+@query
+def styled_resolution(spark, sf_dir):
+    return styled(spark, sf_dir).resolved
+
+
+@query
+def styled_dangling(spark, sf_dir):
+    return styled(spark, sf_dir).dangling
+
+
+@query
+def styled_unconnected(spark, sf_dir):
+    c = styled(spark, sf_dir)
+    return graph.unconnected(c.notes, c.links)
+
+
+@query
+def styled_note_set(spark, sf_dir):
+    """Notes with an even number, and the ends of all links."""
+    c = styled(spark, sf_dir)
+    return graph.note_set(c.notes.where("note_id RLIKE '[02468].md$'"), c.links)
+
+
+@query
+def styled_profile(spark, sf_dir):
+    c = styled(spark, sf_dir)
+    found = evaluation.profile(c.notes, c.links, "branch")
+    touches = F.array_join(F.transform(F.array_sort(F.map_entries("touches")), lambda x: F.concat_ws(":", x["key"], x["value"])), " ")
+    return found.select("subject", "notes", "inside", touches.alias("touches"))
+
+
 @query
 def href_dangling(spark, sf_dir):
     urls = fixtures.table(spark, sf_dir, "pages").select(F.col("url").alias("href"))

@@ -49,6 +49,23 @@ def _word_tables(p: str, notes: str) -> dict[str, str]:
     }
 
 
+def _link_tables(p: str, notes: str) -> dict[str, str]:
+    """Resolution of the table of targets of one corpus; ``p`` goes before the tables' names."""
+    tried = [
+        f"SELECT source, target, 1 AS rank, note_id FROM {p}targets JOIN {p}named ON note_id = target",
+        f"SELECT source, target, 2, n.note_id FROM {p}targets JOIN {p}named s ON s.note_id = source JOIN {p}named n ON n.note_id = s.folder || '/' || target",
+        f"SELECT source, target, 3, n.note_id FROM {p}targets JOIN {p}named s ON s.note_id = source JOIN {p}named n ON n.stem = s.folder || '/' || target",
+        f"SELECT source, target, 4, note_id FROM {p}targets JOIN {p}named ON stem = target",
+        f"SELECT source, target, 5, note_id FROM {p}targets JOIN {p}named ON bare = target",
+    ]
+    return {
+        f"{p}named": f"SELECT note_id, regexp_replace(note_id, '{X.EXTENSION}', '') AS stem, regexp_replace(regexp_extract(note_id, '[^/]*$'), '{X.EXTENSION}', '') AS bare, regexp_extract(note_id, '^(.*)/', 1) AS folder FROM {notes}",
+        f"{p}tried": " UNION ALL ".join(tried),
+        f"{p}resolved": f"SELECT t.source, t.target, first(r.note_id ORDER BY rank, r.note_id) AS note FROM {p}targets t LEFT JOIN {p}tried r ON r.source = t.source AND r.target = t.target GROUP BY t.source, t.target",
+        f"{p}links": f"SELECT DISTINCT least(source, note) AS a, greatest(source, note) AS b, 'link' AS kind, CAST(1 AS DOUBLE) AS weight FROM {p}resolved WHERE note IS NOT NULL AND note != source",
+    }
+
+
 TABLES = {
     "lists": _LISTS,
     "questions": f"SELECT * FROM (VALUES {_ASKED}) AS q(qid, text)",
@@ -59,13 +76,15 @@ TABLES = {
     **_word_tables("l_", "linked"),
     "targets": f"SELECT DISTINCT source, target FROM (SELECT source, {_strip('target')} AS target FROM (SELECT note_id AS source, unnest(regexp_extract_all(text, '{X.WIKI_LINK}', 1)) AS target FROM linked"
     f" UNION ALL SELECT * FROM (SELECT note_id, unnest(regexp_extract_all(text, '{X.INLINE_LINK}', 1)) AS target FROM linked) WHERE NOT contains(target, '://') AND NOT starts_with(target, '#') AND NOT starts_with(target, 'mailto:'))) WHERE target != ''",
-    "named": f"SELECT note_id, regexp_replace(note_id, '{X.EXTENSION}', '') AS stem, regexp_replace(regexp_extract(note_id, '[^/]*$'), '{X.EXTENSION}', '') AS bare, regexp_extract(note_id, '^(.*)/', 1) AS folder FROM linked",
-    "tried": "SELECT source, target, 1 AS rank, note_id FROM targets JOIN named ON note_id = target"
-    " UNION ALL SELECT source, target, 2, n.note_id FROM targets JOIN named s ON s.note_id = source JOIN named n ON n.note_id = s.folder || '/' || target"
-    " UNION ALL SELECT source, target, 3, n.note_id FROM targets JOIN named s ON s.note_id = source JOIN named n ON n.stem = s.folder || '/' || target"
-    " UNION ALL SELECT source, target, 4, note_id FROM targets JOIN named ON stem = target UNION ALL SELECT source, target, 5, note_id FROM targets JOIN named ON bare = target",
-    "resolved": "SELECT t.source, t.target, first(r.note_id ORDER BY rank, r.note_id) AS note FROM targets t LEFT JOIN tried r ON r.source = t.source AND r.target = t.target GROUP BY t.source, t.target",
-    "links": "SELECT DISTINCT least(source, note) AS a, greatest(source, note) AS b, 'link' AS kind, CAST(1 AS DOUBLE) AS weight FROM resolved WHERE note IS NOT NULL AND note != source",
+    **_link_tables("", "linked"),
+    # What each form of link names, by the adapter's rule and without a pattern.
+    "styled": "SELECT n.note_id, n.doc_id, n.doc_id % 9 AS k, n.doc_id * 3 % (SELECT count(*) FROM notes) AS led FROM notes n",
+    "s_forms": f"SELECT s.note_id AS source, CASE WHEN k IN (0, 1, 5) THEN {_PAD.format('led')} WHEN k = 2 THEN coalesce(n.note_id, 'gone.md') WHEN k = 3 THEN coalesce(left(n.note_id, length(n.note_id) - 3), 'gone')"
+    f" WHEN k = 4 THEN {_PAD.format('led')} || '.md' WHEN k = 8 THEN 'gone-' || {_PAD.format('led')} END AS target FROM styled s LEFT JOIN notes n ON n.doc_id = led",
+    "s_targets": "SELECT source, target FROM s_forms WHERE target IS NOT NULL",
+    **_link_tables("s_", "styled"),
+    "s_across": "SELECT split_part(a, '/', 1) AS sa, split_part(b, '/', 1) AS sb FROM s_links",
+    "s_touches": "SELECT subject, other, count(*) AS pairs FROM (SELECT sa AS subject, sb AS other FROM s_across WHERE sa != sb UNION ALL SELECT sb, sa FROM s_across WHERE sa != sb) GROUP BY subject, other",
     "l_edges": "SELECT * FROM links UNION ALL SELECT a, b, 'cooccurrence', CAST(shared AS DOUBLE) FROM l_pairs",
     "adj": "SELECT a AS note, b AS other FROM links UNION SELECT b, a FROM links",
     "start": "SELECT note_id AS note FROM named WHERE bare = '000000'",
@@ -134,6 +153,13 @@ FINAL = {
     "link_targets": "SELECT * FROM targets",
     "link_resolution": "SELECT * FROM resolved",
     "link_edges": "SELECT * FROM links",
+    "styled_targets": "SELECT * FROM s_targets",
+    "styled_resolution": "SELECT * FROM s_resolved",
+    "styled_dangling": "SELECT source, target FROM s_resolved WHERE note IS NULL",
+    "styled_unconnected": "SELECT note_id FROM notes WHERE note_id NOT IN (SELECT unnest([a, b]) FROM s_links)",
+    "styled_note_set": "SELECT note_id AS note FROM notes WHERE doc_id % 2 = 0 UNION SELECT a FROM s_links UNION SELECT b FROM s_links",
+    "styled_profile": "SELECT subject, notes, coalesce(inside, 0) AS inside, coalesce(touches, '') AS touches FROM (SELECT split_part(note_id, '/', 1) AS subject, count(*) AS notes FROM notes GROUP BY 1)"
+    " LEFT JOIN (SELECT sa AS subject, count(*) AS inside FROM s_across WHERE sa = sb GROUP BY sa) USING (subject) LEFT JOIN (SELECT subject, string_agg(other || ':' || pairs, ' ' ORDER BY other) AS touches FROM s_touches GROUP BY subject) USING (subject)",
     "dangling_links": "SELECT source, target FROM resolved WHERE note IS NULL",
     "href_dangling": "SELECT page_id, href FROM (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages) WHERE href NOT IN (SELECT url FROM pages WHERE url IS NOT NULL)",
     "cooccurrence_edges": "SELECT a, b, 'cooccurrence' AS kind, CAST(shared AS DOUBLE) AS weight FROM pairs",

@@ -45,6 +45,22 @@ def linked_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.crossJoin(n).select("note_id", "doc_id", text.alias("text"))
 
 
+def styled_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(note_id, text): links as titles, parts, paths with and without extension, siblings, beside addresses and places; a third has none that holds."""
+    rows = notes(spark, sf_dir).select("note_id", "doc_id")
+    n = F.broadcast(rows.agg(F.count("*").alias("n")))
+    led = rows.crossJoin(n).select("note_id", "doc_id", F.expr("doc_id * 3 % n").alias("to"))
+    there = rows.select(F.col("doc_id").alias("to"), F.col("note_id").alias("path"))
+    name, path = _name(F.col("to")), F.coalesce("path", F.lit("gone.md"))
+    say = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    forms = {
+        0: say("[[", name, "|shown as]]"), 1: say("[[ ", name, "#part|shown]]"), 2: say("[shown](", path, ")"), 3: say("[shown](", F.regexp_replace(path, r"\.md$", ""), ")"),
+        4: say("[shown](", name, ".md)"), 5: say("[[", name, "]] [a](https://e.org/", name, ") [b](#here) [c](mailto:a@b)"), 8: say("[[gone-", name, "]]"),
+    }
+    link = F.coalesce(*[F.when(F.col("doc_id") % 9 == k, x) for k, x in forms.items()], F.lit("no link"))
+    return led.join(there, "to", "left").select("note_id", say("About ", _name(F.col("doc_id")), ": ", link, ".").alias("text"))
+
+
 def questions(spark: SparkSession, only: int | None = None) -> DataFrame:
     rows = [q for q in QUESTIONS if only is None or q[0] == only]
     return spark.createDataFrame(rows, "qid int, text string").coalesce(1)
