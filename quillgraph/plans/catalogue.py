@@ -232,6 +232,14 @@ def reach_unbounded(spark, sf_dir):
     return _walk(spark, sf_dir)[1].reached
 
 
+@query
+def reach_all(spark, sf_dir):
+    """The walk over edges of all kinds."""
+    c = linked(spark, sf_dir)
+    start = c.notes.where(X.note_name(F.col("note_id")) == "000000").select(F.col("note_id").alias("note"))
+    return graph.reach(c.adjacency(), start, None, c.scratch).reached
+
+
 @query
 def reach_depth2(spark, sf_dir):
     return _walk(spark, sf_dir, 2)[1].reached
@@ -336,6 +344,13 @@ def refusal_fork(spark, sf_dir):
     return retrieval.fork(fixtures.questions(spark), _seeds(c), parts)
 
 
+@query
+def styled_fork(spark, sf_dir):
+    """Refusals on a graph of many components, where a question may lead nowhere."""
+    c = styled(spark, sf_dir)
+    return retrieval.fork(fixtures.questions(spark), _seeds(c), graph.components(c.adjacency(links.LINK), c.scratch))
+
+
 @query
 def bm25_search(spark, sf_dir):
     c = plain(spark, sf_dir)
@@ -407,6 +422,14 @@ def question_proposals(spark, sf_dir):
     return _proposed(spark, sf_dir)[1].withColumn("answers", F.array_join("answers", " "))
 
 
+@query
+def question_proposals_all(spark, sf_dir):
+    """Proposals over edges of all kinds; answers are many, so they are counted and digested."""
+    c = linked(spark, sf_dir)
+    out = proposals.proposals(c.notes, c.adjacency())
+    return out.select("note_id", "pos", "question", F.size("answers").cast("long").alias("n_answers"), F.md5(F.array_join("answers", " ")).alias("digest"))
+
+
 @query
 def first_proposals(spark, sf_dir):
     c = linked(spark, sf_dir)

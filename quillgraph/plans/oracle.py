@@ -79,6 +79,12 @@ TABLES = {
     **_link_tables("", "linked"),
     # What each form of link names, by the adapter's rule and without a pattern.
     "styled": "SELECT n.note_id, n.doc_id, n.doc_id % 9 AS k, n.doc_id * 3 % (SELECT count(*) FROM notes) AS led FROM notes n",
+    "styled_texts": f"SELECT s.note_id, 'About ' || {_PAD.format('s.doc_id')} || ': ' || CASE k WHEN 0 THEN '[[' || {_PAD.format('led')} || '|shown as]]' WHEN 1 THEN '[[ ' || {_PAD.format('led')} || '#part|shown]]'"
+    f" WHEN 2 THEN '[shown](' || coalesce(n.note_id, 'gone.md') || ')' WHEN 3 THEN '[shown](' || coalesce(left(n.note_id, length(n.note_id) - 3), 'gone') || ')' WHEN 4 THEN '[shown](' || {_PAD.format('led')} || '.md)'"
+    f" WHEN 5 THEN '[[' || {_PAD.format('led')} || ']] [a](https://e.org/' || {_PAD.format('led')} || ') [b](#here) [c](mailto:a@b)' WHEN 8 THEN '[[gone-' || {_PAD.format('led')} || ']]' ELSE 'no link' END || '.' AS text FROM styled s LEFT JOIN notes n ON n.doc_id = led",
+    **_word_tables("s_", "styled_texts"),
+    "s_adj": "SELECT a AS note, b AS other FROM s_links UNION SELECT b, a FROM s_links",
+    "s_closure": "SELECT note, other FROM s_adj UNION SELECT c.note, s_adj.other FROM s_closure c JOIN s_adj ON s_adj.note = c.other",
     "s_forms": f"SELECT s.note_id AS source, CASE WHEN k IN (0, 1, 5) THEN {_PAD.format('led')} WHEN k = 2 THEN coalesce(n.note_id, 'gone.md') WHEN k = 3 THEN coalesce(left(n.note_id, length(n.note_id) - 3), 'gone')"
     f" WHEN k = 4 THEN {_PAD.format('led')} || '.md' WHEN k = 8 THEN 'gone-' || {_PAD.format('led')} END AS target FROM styled s LEFT JOIN notes n ON n.doc_id = led",
     "s_targets": "SELECT source, target FROM s_forms WHERE target IS NOT NULL",
@@ -87,6 +93,10 @@ TABLES = {
     "s_touches": "SELECT subject, other, count(*) AS pairs FROM (SELECT sa AS subject, sb AS other FROM s_across WHERE sa != sb UNION ALL SELECT sb, sa FROM s_across WHERE sa != sb) GROUP BY subject, other",
     "l_edges": "SELECT * FROM links UNION ALL SELECT a, b, 'cooccurrence', CAST(shared AS DOUBLE) FROM l_pairs",
     "adj": "SELECT a AS note, b AS other FROM links UNION SELECT b, a FROM links",
+    "a_adj": "SELECT a AS note, b AS other FROM l_edges UNION SELECT b, a FROM l_edges",
+    "a_walk": "SELECT note, 0 AS depth FROM start UNION SELECT other, depth + 1 FROM a_walk JOIN a_adj USING (note) WHERE depth < 12",
+    "a_levels": "SELECT note, min(depth) AS depth FROM a_walk GROUP BY note",
+    "a_hops": "SELECT DISTINCT l.note_id AS start, n AS note FROM (SELECT DISTINCT note_id FROM lifted) l JOIN (SELECT note, other AS n FROM a_adj UNION SELECT x.note, y.other FROM a_adj x JOIN a_adj y ON y.note = x.other) ON note = l.note_id WHERE n != l.note_id",
     "start": "SELECT note_id AS note FROM named WHERE bare = '000000'",
     "walk": "SELECT note, 0 AS depth FROM start UNION SELECT other, depth + 1 FROM walk JOIN adj USING (note) WHERE depth < 40",
     "levels": "SELECT note, min(depth) AS depth FROM walk GROUP BY note",
@@ -153,6 +163,8 @@ FINAL = {
     "link_targets": "SELECT * FROM targets",
     "link_resolution": "SELECT * FROM resolved",
     "link_edges": "SELECT * FROM links",
+    "reach_all": "SELECT l.note, l.depth, min(p.note) AS via FROM a_levels l LEFT JOIN a_adj ON a_adj.note = l.note LEFT JOIN a_levels p ON p.note = a_adj.other AND p.depth = l.depth - 1 GROUP BY l.note, l.depth",
+    "question_proposals_all": "SELECT note_id, pos, question, count(*) AS n_answers, md5(string_agg(note, ' ' ORDER BY note)) AS digest FROM lifted JOIN a_hops ON start = note_id WHERE pos <= 3 GROUP BY note_id, pos, question",
     "styled_targets": "SELECT * FROM s_targets",
     "styled_resolution": "SELECT * FROM s_resolved",
     "styled_dangling": "SELECT source, target FROM s_resolved WHERE note IS NULL",
@@ -187,6 +199,8 @@ FINAL = {
     "evidence_topk": "SELECT * FROM placed WHERE rank <= 5",
     "withheld_notes": "SELECT note, depth, worth FROM placed WHERE rank > 5",
     "grounding": "SELECT count(*) FILTER (is_seed) AS seeds, count(*) FILTER (NOT is_seed) AS through_edges, (SELECT by_worth = by_strongest FROM l_leaders WHERE qid = 1) AS seeds_agree FROM placed WHERE rank <= 5 HAVING count(*) > 0",
+    "styled_fork": "SELECT *, CASE WHEN n_seeds = 0 THEN 'absent' WHEN n_beyond = 0 THEN 'unconnected' WHEN n_beyond < 2 THEN 'thin' ELSE 'answerable' END AS outcome FROM (SELECT q.qid, count(DISTINCT s.note_id) AS n_seeds, count(DISTINCT coalesce(c.other, s.note_id)) AS n_reached,"
+    " count(DISTINCT coalesce(c.other, s.note_id)) - count(DISTINCT s.note_id) AS n_beyond FROM questions q LEFT JOIN s_seeds s ON s.qid = q.qid LEFT JOIN s_closure c ON c.note = s.note_id GROUP BY q.qid)",
     "refusal_fork": "SELECT *, CASE WHEN n_seeds = 0 THEN 'absent' WHEN n_beyond = 0 THEN 'unconnected' WHEN n_beyond < 2 THEN 'thin' ELSE 'answerable' END AS outcome FROM (SELECT q.qid, count(DISTINCT s.note_id) AS n_seeds, count(DISTINCT coalesce(c.other, s.note_id)) AS n_reached,"
     " count(DISTINCT coalesce(c.other, s.note_id)) - count(DISTINCT s.note_id) AS n_beyond FROM questions q LEFT JOIN l_seeds s ON s.qid = q.qid LEFT JOIN closure c ON c.note = s.note_id GROUP BY q.qid)",
     "bm25_search": "SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score, note_id) AS rank FROM bm25",
