@@ -33,20 +33,20 @@ def test_terms_and_flattening(notes):
 
 
 def test_lifted_questions(notes):
-    framing = re.compile(r"^(?:[-*+#]+[ \t]*)+(?=[ \t]|$)")
-
     def bare(s):
-        return framing.sub("", s).strip()
+        """Without marks of headings and lists: up to the last blank among them, or all of a line that has nothing else."""
+        marks = 0
+        while marks < len(s) and s[marks] in "-*+# \t":
+            marks += 1
+        if marks < len(s):
+            while marks and s[marks - 1] not in " \t":
+                marks -= 1
+        return (s[marks:] if s[:1] in tuple("-*+#") else s).strip()
 
     want = []
     for i, t in enumerate(TEXTS):
         k = 0
         for line in (t or "").splitlines():
-            if len(line) > 30 and line.startswith("---"):
-                line = ""  # the plain pattern takes exponential time here, and finds nothing to strip
-                k += 1
-                want.append((f"n{i:02d}.md", k, TEXTS[i].splitlines()[1]))
-                continue
             for span in re.split(r"(?<=[.!?])\s+", bare(line)):
                 span = bare(span)
                 if span.endswith("?") and re.search(r"\w", span):
