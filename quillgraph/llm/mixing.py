@@ -139,7 +139,8 @@ def segments(placed: DataFrame, slots: DataFrame) -> DataFrame:
         "no", "block", "doc_id", "start", F.greatest(F.col("start"), F.col("block") * BLOCK).alias("lo"),
         F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK).alias("hi"),
     )
-    return slots.join(piece, ["no", "block"]).select("shard", "slot", "round", "no", "block", "doc_id", "start", (F.col("lo") - F.col("start")).alias("first_word"), (F.col("hi") - F.col("lo")).alias("words"))
+    # Slots come out of a function, so Spark takes them for as few as the sources that they are made of, and would broadcast them.
+    return slots.hint("merge").join(piece, ["no", "block"]).select("shard", "slot", "round", "no", "block", "doc_id", "start", (F.col("lo") - F.col("start")).alias("first_word"), (F.col("hi") - F.col("lo")).alias("words"))
 
 
 def digest(spark: SparkSession, docs: DataFrame) -> DataFrame:
