@@ -78,8 +78,13 @@ def content_terms(notes: DataFrame, stop: DataFrame) -> DataFrame:
 
 def postings(notes: DataFrame, stop: DataFrame) -> DataFrame:
     """(note_id, term): a note's terms and its own name, which counts even if short or a stop word."""
+    return postings_of(notes.select("note_id", X.terms(_text()).alias("terms")), stop)
+
+
+def postings_of(held: DataFrame, stop: DataFrame) -> DataFrame:
+    """The same of notes whose terms are stored (note_id, terms); reads no text."""
     name = X.note_name(F.col("note_id"))
-    rows = notes.select("note_id", name.alias("name"), F.explode(F.array_union(X.terms(_text()), F.array(name))).alias("term"))
+    rows = held.select("note_id", name.alias("name"), F.explode(F.array_union("terms", F.array(name))).alias("term"))
     words = stop.select(F.col("term").alias("__stop"))
     return rows.join(F.broadcast(words), (F.col("term") == F.col("__stop")) & (F.col("term") != F.col("name")), "left_anti").select("note_id", "term")
 

@@ -49,7 +49,7 @@ def judged(store: Store, scratch: Scratch, kind: str | None = None, normalise: b
     """Verdicts on all proposals of the store."""
     edges = store.edges() if kind is None else graph.of_kind(store.edges(), kind)
     notes = store.notes()
-    stop = scratch.save(store.stop().coalesce(1), "stop")
+    stop = store.stop()
     proposed = scratch.save(proposals.proposals(notes, graph.adjacency(edges)), "proposed")
     return scratch.save(proposals.verdicts(proposed, notes, stop, normalise), "verdicts")
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import answers, graph, retrieval, terms
+from ..operators import answers, graph, retrieval
 from ..scratch import Scratch
 from ..sources.sessions import NEXT, Session
 from ..sources.store import Read, Store
@@ -88,10 +88,10 @@ def turn(question: str, store: Store, phrase: Phraser, session: Session | None =
         session.ask(question)
     told = refreshed if refreshed is not None else store.refresh()
     notes = store.notes()
-    stop = scratch.save(store.stop().coalesce(1), "stop")
+    stop = store.stop()
     asked = retrieval.question_terms(spark.createDataFrame([(0, question)], "qid int, text string"), stop)
-    total = notes.agg(F.count("*").alias("n_notes"))
-    seeds = scratch.save(retrieval.seeds(retrieval.shared(terms.postings(notes, stop), scratch.save(asked, "asked"), total)), "seeds")
+    total = store.note_ids().agg(F.count("*").alias("n_notes"))
+    seeds = scratch.save(retrieval.seeds(retrieval.shared(store.postings(), scratch.save(asked, "asked"), total)), "seeds")
     walk = graph.reach(graph.adjacency(store.edges()), seeds.select(F.col("note_id").alias("note")), None, scratch)
     placed = scratch.save(retrieval.ordered(walk.reached, seeds), "placed")
     n_seeds, n_reached = seeds.count(), placed.count()

@@ -1,14 +1,18 @@
 """The store of a corpus: versioned Parquet tables that grow by what changed.
 
 Layout below the root: ``<table>/v=<n>`` for notes, unreadable, terms, targets, cooccurrence and gone
-(the ids that version n took out or replaced), ``links/v=<n>`` and ``dangling/v=<n>`` whole, and
-``meta/v=<n>``, written last: a version without it does not exist. A row is live if no later version
+(the ids that version n took out or replaced), ``links/v=<n>``, ``dangling/v=<n>`` and ``stopwords/v=<n>``
+whole, and ``meta/v=<n>``, written last: a version without it does not exist. A row is live if no later version
 names its note in ``gone``; an edge if neither of its ends is named. So a refresh writes as much as
 changed, reads no text of other notes, and a reader of an older version is not disturbed.
 
 A refresh gives the tables that a rebuild would give. Links are resolved anew each time, from stored
 targets, since a note that comes or goes can change what any link names. Stop words are a fact about
-the whole corpus: when they change, all co-occurrence is derived again from stored terms.
+the whole corpus: when they change, all co-occurrence is derived again from stored terms. Questions
+read stored terms and stop words, no texts but those of their evidence.
+
+Before its first change beyond COMPACT_AFTER versions a refresh writes all live rows as one version.
+The versions since the former base stay until the next such time, for readers that hold them.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ from ..scratch import Scratch, delete
 from . import branch as files
 
 DERIVATION = 1
+#: So many versions are read together at most.
+COMPACT_AFTER = 32
 SCHEMAS = {
     "notes": "note_id string, mtime double, size bigint, text string",
     "unreadable": "note_id string, mtime double, size bigint, reason string",
@@ -33,6 +39,7 @@ SCHEMAS = {
     "cooccurrence": "a string, b string, kind string, weight double",
     "links": "a string, b string, kind string, weight double",
     "dangling": "source string, target string",
+    "stopwords": "term string",
     "gone": "note_id string",
     "meta": "derivation int, stop string, base int, edge_base int",
 }
@@ -153,7 +160,15 @@ class Store:
         keys = ["note_id", "mtime", "size"]
         return self._live("notes", ("note_id",), at=at).select(keys).unionByName(self._live("unreadable", ("note_id",), at=at).select(keys))
 
+    def postings(self) -> DataFrame:
+        """(note_id, term) as ``terms.postings`` makes them of the notes."""
+        return terms.postings_of(self._live("terms", ("note_id",)), self.stop())
+
     def stop(self) -> DataFrame:
+        """(term) of the version in force; derived from stored terms where an earlier layout has none."""
+        at = self.meta()
+        if at is not None and at["version"] in self.versions("stopwords"):
+            return self.spark.read.schema(SCHEMAS["stopwords"]).parquet(self._path("stopwords", at["version"]))
         words = self._live("terms", ("note_id",)).select(F.explode("terms").alias("term")).distinct()
         return terms.stop_terms(words, self.lists)
 
@@ -180,6 +195,9 @@ class Store:
         moved = scratch.save(refresh.diff(self._stats(at), entries), "diff")
         if moved.isEmpty():
             return Read()
+        if at["version"] - at["base"] >= COMPACT_AFTER:
+            self.compact(at["base"])
+            at = self.meta()
         return self._write(entries, at, moved)
 
     def _write(self, entries: DataFrame, at: dict | None, moved: DataFrame | None) -> Read:
@@ -200,7 +218,8 @@ class Store:
         now = {"version": version, "base": base, "edge_base": version if at is None else at["edge_base"]}
         ids = scratch.save(self._live("notes", ("note_id",), at=now).select("note_id"), "ids")
         words = self._live("terms", ("note_id",), at=now).select("note_id", F.explode("terms").alias("term"))
-        stop = scratch.save(terms.stop_terms(words.select("term").distinct(), self.lists).coalesce(1), "stop")
+        put(terms.stop_terms(words.select("term").distinct(), self.lists).coalesce(1), "stopwords")
+        stop = get("stopwords")
         mark = terms.fingerprint(stop).first()[0]
         content = words.join(F.broadcast(stop), "term", "left_anti").select("note_id", "term")
         found = scratch.save(links.resolved(self._live("targets", ("source",), at=now), ids), "resolved")
@@ -220,8 +239,8 @@ class Store:
         counts = {r["status"]: r["count"] for r in changes.groupBy("status").count().collect()}
         return Read(counts, changes, get("unreadable").select("note_id", "reason"), get("dangling"), moved is None)
 
-    def compact(self) -> None:
-        """Writes all live rows as one version and drops the older ones."""
+    def compact(self, keep: int | None = None) -> None:
+        """Writes all live rows as one version and drops the older ones, but for those from ``keep`` on."""
         at = self.meta()
         if at is None or at["version"] == at["base"]:
             return
@@ -231,8 +250,9 @@ class Store:
             self._live(table, keys, "edge_base" if table == "cooccurrence" else "base", at).write.mode("overwrite").parquet(self._path(table, version))
         for table in ("links", "dangling"):
             self.spark.read.schema(SCHEMAS[table]).parquet(self._path(table, at["version"])).write.mode("overwrite").parquet(self._path(table, version))
+        self.stop().write.mode("overwrite").parquet(self._path("stopwords", version))
         self.spark.createDataFrame([(at["derivation"], at["stop"], version, version)], SCHEMAS["meta"]).coalesce(1).write.mode("overwrite").parquet(self._path("meta", version))
         for table in SCHEMAS:
             for v in self.versions(table):
-                if v < version:
+                if v < (version if keep is None else min(version, keep)):
                     delete(self.spark, self._path(table, v))

@@ -12,7 +12,9 @@ import pytest
 from quillgraph import cli, render
 from quillgraph.plans import model, trial
 from quillgraph.plans.turn import turn
+from quillgraph.operators import terms
 from quillgraph.sources import branch, sessions
+from quillgraph.sources import store as stores
 from quillgraph.sources.store import Read, StaleGraph, Store
 from quillgraph.streaming import refresh as stream
 
@@ -124,6 +126,39 @@ def test_refresh_equals_rebuild(spark, tmp_path):
     assert state(store) == state(fresh)
 
 
+def test_stored_terms_give_the_postings_of_the_texts(spark, tmp_path):
+    notes = tmp_path / "notes"
+    put(notes, {"the.md": "The kettle and the spout, copper", "b.md": "", "is.md": "and with was kettle"})
+    store = Store(spark, str(tmp_path / "store"), str(notes), LISTS)
+    for files in ({}, {"b.md": "copper spout was", "c.md": "die der und nicht"}):
+        put(notes, files)
+        store.refresh()
+        stop = terms.stop_terms(terms.vocabulary(store.notes()), LISTS)
+        assert sorted(store.stop().collect()) == sorted(stop.collect())
+        assert sorted(store.postings().collect()) == sorted(terms.postings(store.notes(), stop).collect())
+        assert ("the.md", "the") in {tuple(r) for r in store.postings().collect()}
+
+
+def test_many_refreshes_compact_the_store(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stores, "COMPACT_AFTER", 1)
+    notes = tmp_path / "notes"
+    put(notes, {"a.md": "copper kettle spout", "b.md": "copper kettle [[a]]"})
+    store = Store(spark, str(tmp_path / "store"), str(notes), LISTS)
+    store.refresh()
+    for i in range(3):
+        held = store.edges()
+        before = {tuple(r) for r in held.collect()}
+        put(notes, {f"n{i}.md": f"copper spout [[n{i - 1}]]"})
+        assert store.refresh().names("added") == [f"n{i}.md"]
+        assert {tuple(r) for r in held.collect()} == before, "a reader of the version before is not disturbed"
+        at = store.meta()
+        assert at["version"] - at["base"] <= 1
+    fresh = Store(spark, str(tmp_path / "fresh"), str(notes), LISTS)
+    fresh.refresh()
+    assert state(store) == state(fresh) and store.refresh().quiet
+    assert min(store.versions("notes")) > 1 and sorted(store.stop().collect()) == sorted(fresh.stop().collect())
+
+
 def test_an_unfinished_version_does_not_count(spark, tmp_path):
     notes = tmp_path / "notes"
     put(notes, {"a.md": "x"})
