@@ -8,6 +8,13 @@ differs in FLIPS bits at most) and those up to RADIUS bits with a probability th
 Each candidate within RADIUS is then judged by the exact weighted Jaccard similarity of the shingle
 multisets, which must be PERCENT or more. Items of fewer words are one shingle.
 
+Fingerprints of similar windows may lie further apart, most of all where few shingles make up a text, so the
+rest is found exactly (``Index.rest``): so much must be shared that a window holds one of an item's rarest
+shingles; texts that have one, and enough of the item's others, get the similarity of all their windows by
+the spans of window starts in which each shingle counts. Only what is equal is settled before: its
+fingerprints are equal, so the multi-index cannot miss it. No pair of the definition is left out, but for
+collisions of 64-bit hashes.
+
 RADIUS follows from PERCENT: equally many shingles at that similarity share 2 PERCENT / (100 + PERCENT) of
 them, which is the cosine of their angle; fingerprint bits differ with that angle over pi, and RADIUS lies
 SIGMAS deviations above that mean. Of random windows 3 % are candidates of an item before that test.
@@ -49,6 +56,8 @@ from pyspark.sql import functions as F
 from .common import ALNUM, U64, Scratch, chunks, grams, mix, small_batches, words
 
 WORDS, PERCENT, BLOCK_BYTES, GATHER, WINDOWS = 5, 80, 16 << 20, 32 << 20, 2048
+#: Postings, or shingles that texts and items share, that ``rest`` holds at once; what one shingle or pair has is not split.
+SLICE = 1 << 20
 BITS, FLIPS, SIGMAS = 256, 2, 4.5
 SECTIONS = BITS // 16
 SURE = SECTIONS * (FLIPS + 1) - 1
@@ -59,6 +68,27 @@ MATCH = "doc_id long, item_id long, n_items long, similarity double, first_word
 _FLIPPED = np.array([sum(1 << b for b in some) for k in range(FLIPS + 1) for some in combinations(range(16), k)], np.uint16)
 
 
+def _least(n: int) -> int:
+    """How many of n shingles a window must share with an item of as many."""
+    return -(-2 * n * PERCENT // (100 + PERCENT))
+
+
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the range, member) of all members of the ranges."""
+    n = hi - lo
+    of = np.repeat(np.arange(len(n)), n)
+    return of, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[of]
+
+
+def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of about SLICE in sum."""
+    ends, a = np.cumsum(sizes), 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SLICE, "right")))
+        yield a, b
+        a = b
+
+
 def fingerprints(shingles: np.ndarray) -> np.ndarray:
     """SimHash of each row of shingle hashes, BITS / 64 numbers each; repeats weigh as often as they occur."""
     salted = np.stack([mix(shingles + U64(k << 56)) for k in range(1, BITS // 64 + 1)], axis=2)
@@ -118,6 +148,88 @@ class Index:
         at = np.arange((hi - lo).sum()) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)
         return np.bincount(item[at], np.minimum(count[at], np.repeat(n, hi - lo)), len(self.names)).astype(np.int64)
 
+    @cached_property
+    def rare(self) -> tuple[np.ndarray, np.ndarray]:
+        """(shingle, item), by shingle, of as many of an item's shingles, rarest first, that no window can do without all of them."""
+        keys, item, count = self.postings
+        _, of, often = np.unique(keys, return_inverse=True, return_counts=True)
+        order = np.lexsort((keys, often[of], item))
+        n = self.shingles.shape[1]
+        before = np.cumsum(count[order]) - count[order] - item[order] * n  # every item has n
+        order = np.sort(order[before <= n - _least(n)])
+        return keys[order], item[order]
+
+    @cached_property
+    def bags(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(shingle, how often the item has it) by item, and where each item begins (one more than items)."""
+        first = np.cumsum([0, *(len(k) for k, _ in self.counts)])
+        return *(np.concatenate(x) for x in zip(*self.counts, strict=True)), first
+
+    def rest(self, own: np.ndarray, text: np.ndarray, starts: np.ndarray, settled: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """(text, item, size of the multiset intersection, start) of the best window of each pair that matches; ties to the first.
+
+        ``own`` are the shingles of texts and ``text`` whose they are, in order; ``starts`` are those of all windows that can
+        match. Pairs whose text * number of items + item is in ``settled`` are left out.
+        """
+        n, items = self.shingles.shape[1], len(self.names)
+        covered = np.zeros(len(own) + 1, np.int32)
+        covered[starts] += 1
+        covered[starts + n] -= 1
+        places = np.flatnonzero(np.cumsum(covered[:-1]))
+        known = self.postings[0]
+        at = np.minimum(np.searchsorted(known, own[places]), len(known) - 1)  # the first of its postings names a shingle
+        hit = known[at] == own[places]
+        places, at = places[hit], at[hit]
+        keys, by = self.rare
+        lo, hi = np.searchsorted(keys, own[places], "left"), np.searchsorted(keys, own[places], "right")
+        pairs = np.zeros(0, np.int64)
+        for a, b in _slices(hi - lo):
+            of, member = _ranges(lo[a:b], hi[a:b])
+            pairs = np.union1d(pairs, text[places[a:b]][of] * items + by[member])
+        pairs = np.setdiff1d(pairs, settled, assume_unique=True)
+        # Where a text has a shingle: a run of ``places``, by text and shingle.
+        order = np.lexsort((places, at, text[places]))
+        places, codes = places[order], (text[places] * len(known) + at)[order]
+        bag, often, first = self.bags
+        name = np.searchsorted(known, bag)
+        for a, b in _slices(np.diff(first)[pairs % items]):
+            some = pairs[a:b]
+            pair, member = _ranges(first[some % items], first[some % items + 1])
+            asked, c = (some // items)[pair] * len(known) + name[member], often[member]
+            lo, hi = np.searchsorted(codes, asked, "left"), np.searchsorted(codes, asked, "right")
+            enough = np.bincount(pair, np.minimum(hi - lo, c), len(some)) >= _least(n)
+            kept = enough[pair] & (hi > lo)
+            pair, c, lo, hi = pair[kept], c[kept], lo[kept], hi[kept]
+            sizes = np.bincount(pair, hi - lo, len(some)).astype(np.int64)
+            for i, j in _slices(sizes):
+                u, v = np.searchsorted(pair, [i, j])
+                if u < v:
+                    yield self._best(places, text, some, pair[u:v], c[u:v], lo[u:v], hi[u:v])
+
+    def _best(self, places, text, pairs, pair, count, lo, hi) -> tuple[np.ndarray, ...]:
+        """What ``rest`` gives for pairs with runs lo to hi of ``places``, a run per shingle, which counts ``count`` times at most."""
+        n, items = self.shingles.shape[1], len(self.names)
+        run, member = _ranges(lo, hi)
+        place, whose, most = places[member], pair[run], count[run]
+        # A shingle counts in windows that begin after the count-th before it, and hold it.
+        full = member - lo[run] >= most
+        after = np.where(full, places[np.where(full, member - most, 0)] + 1, 0)
+        mine = (pairs // items)[whose]
+        begin = np.maximum(np.maximum(after, place - n + 1), np.searchsorted(text, mine, "left"))
+        end = np.minimum(place, np.searchsorted(text, mine, "right") - n) + 1
+        some = begin < end
+        where = np.concatenate([begin[some], end[some]])
+        whose = np.concatenate([whose[some], whose[some]])
+        step = np.repeat([1, -1], int(some.sum()))
+        order = np.lexsort((where, whose))
+        where, whose, shared = where[order], whose[order], np.cumsum(step[order])
+        last = np.append((where[1:] != where[:-1]) | (whose[1:] != whose[:-1]), True)[: len(where)]
+        good = np.flatnonzero(last & (shared >= _least(n)))
+        good = good[np.lexsort((where[good], -shared[good], whose[good]))]
+        good = good[np.unique(whose[good], return_index=True)[1]]
+        of = pairs[whose[good]]
+        return of // items, of % items, shared[good], where[good]
+
     def shared(self, windows: np.ndarray, item: int) -> np.ndarray:
         """Size of the multiset intersection of each window and an item."""
         keys, counts = self.counts[item]
@@ -189,7 +301,7 @@ def search(texts: pa.Array | Worded, built: dict, whole: bool = False) -> list[t
                             row, name, m = i + int(t), int(items.names[item]), int(shared[item])
                             x = (float(m / (n + d - m)), 0, d + k - 1, copies[name])
                             best[row, name] = max(best.get((row, name), x), x, key=lambda y: y[:3])
-            fewest = min(-(-2 * n * PERCENT // (100 + PERCENT)) for n in indexes)
+            fewest = min(map(_least, indexes))
             some = np.bincount(text[known], minlength=len(first) - 1) >= fewest
             mine = some[text]
             own, at, text, known = own[mine], at[mine], text[mine], known[mine]
@@ -197,8 +309,10 @@ def search(texts: pa.Array | Worded, built: dict, whole: bool = False) -> list[t
             for n, items in indexes.items():
                 if len(own) < n:
                     continue
-                least = -(-2 * n * PERCENT // (100 + PERCENT))
-                starts = np.flatnonzero((sums[n:] - sums[:-n] >= least) & (text[n - 1 :] == text[: len(text) - n + 1]))
+                starts = np.flatnonzero((sums[n:] - sums[:-n] >= _least(n)) & (text[n - 1 :] == text[: len(text) - n + 1]))
+                if not len(starts):
+                    continue
+                settled = []  # equal, so with a fingerprint that cannot be missed
                 for a in range(0, len(starts), WINDOWS):
                     s = starts[a : a + WINDOWS]
                     windows = own[s[:, None] + np.arange(n)]
@@ -211,6 +325,13 @@ def search(texts: pa.Array | Worded, built: dict, whole: bool = False) -> list[t
                                 row, name, start = i + int(text[w]), int(items.names[item]), int(at[w] - first[text[w]])
                                 x = (float(m / (2 * n - m)), -start, n + k - 1, copies[name])
                                 best[row, name] = max(best.get((row, name), x), x, key=lambda y: y[:3])
+                                if m == n:
+                                    settled.append(int(text[w]) * len(items.names) + int(item))
+                for found in items.rest(own, text, starts, np.unique(np.array(settled, np.int64))):
+                    for t, item, m, w in zip(*(x.tolist() for x in found), strict=True):
+                        row, name, start = i + t, int(items.names[item]), int(at[w] - first[t])
+                        x = (float(m / (2 * n - m)), -start, n + k - 1, copies[name])
+                        best[row, name] = max(best.get((row, name), x), x, key=lambda y: y[:3])
     return [(row, *x[3], x[0], -x[1], x[2]) for (row, _), x in sorted(best.items())]
 
 

@@ -376,6 +376,46 @@ def test_multi_index_prunes_and_finds(n):
     assert int((rows == found).sum()) == 300
 
 
+def all_windows(texts, items):
+    """The best window of each pair of similar ones: (similarity, first word, words) by (place of the text, item)."""
+    want = {}
+    for r, text in enumerate(texts):
+        w = text.split()
+        for i, item in enumerate(x.split() for x in items):
+            k = min(5, len(item))
+            bag = lambda x: Counter(tuple(x[a : a + k]) for a in range(len(x) - k + 1))  # noqa: B023, E731
+            for s in range(max(1, len(w) - len(item) + 1)):
+                own, mine = bag(w[s : s + len(item)]), bag(item)
+                x = (own & mine).total() / (own | mine).total()
+                if x >= 0.8 and x > want.get((r, i), (0,))[0]:
+                    want[r, i] = x, s, min(len(item), len(w))
+    return want
+
+
+def test_decontamination_finds_windows_far_apart_in_fingerprints(spark, monkeypatch):
+    """Few distinct shingles: similar windows may differ in half of all bits, which the multi-index does not reach."""
+    rng = np.random.default_rng(5)
+    items = ["a b " * 6 + "a", *(" ".join((["x", "y", "z", "v"][: 2 + j % 3] * 20)[: 13 + j]) for j in range(20))]
+    texts = ["b a " * 6 + "b", "so b " + "a b " * 6 + "then"]
+    for item in items:
+        w = item.split() * 2
+        for _ in range(6):
+            a = rng.integers(len(w) // 2)
+            own = np.array(w[a : a + len(w) // 2 + rng.integers(4)])
+            own[rng.choice([0, -1, len(own) // 2])] = rng.choice(["x", "y", "b"])
+            texts.append(" ".join([*own, *rng.choice(["x", "y", "q"], rng.integers(5))]))
+    want = all_windows(texts, items)
+    assert want[0, 0] == (0.8, 0, 13) and (1, 0) in want and len(want) > 40
+    built = decontam.index([(i, 1, x) for i, x in enumerate(items)])
+    for size in (1, 1 << 20):
+        monkeypatch.setattr(decontam, "SLICE", size)
+        assert {x[:2]: x[3:] for x in decontam.search(decontam.pa.array(texts), built, whole=True)} == want
+    own = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    same(decontam.matches(spark, own, bench, whole=True), [(r, i, 1, *x) for (r, i), x in want.items()])
+    assert {r["doc_id"] for r in decontam.marked(spark, own, bench, whole=True).where("contaminated").collect()} == {r for r, _ in want}
+
+
 def test_decontamination_without_items(spark, docs):
     assert decontam.matches(spark, docs, spark.createDataFrame([], "item_id long, text string")).isEmpty()
 
