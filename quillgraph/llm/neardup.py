@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.components import connected
+from ..operators.components import connected_numbers
 from .common import SPACED, U64, Scratch, chunks, grams, mix, small_batches, words
 
 WORDS, PERCENT = 5, 85
@@ -284,17 +284,16 @@ def pivot_links(reps: DataFrame, members: DataFrame, sets: DataFrame, scratch: S
     """Links of classes with a pivot of each of their buckets, PIVOTS times, as components."""
     side = lambda k: reps.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("registers").alias(f"r{k}"))
     near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    active, links, found = with_component(members.select("key", "node"), None), None, None
+    active, found = with_component(members.select("key", "node"), None), None
     for _ in range(PIVOTS):
         pivot = active.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("rows")).where("rows > 1").select("key", "pivot")
         placed = scratch.save(active.select("key", "node").join(pivot, "key"), "pivots")
-        star = placed.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+        star = placed.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).repartition("a").distinct()  # dealt as the join needs it
         sized = star.join(side("a"), "a").join(side("b"), "b").where(near)
         passed = scratch.save(sized.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(lambda x: _likely(x, percent), PAIR), "star")
         new = verified(passed, sets, scratch, percent)
         if not new.isEmpty():
-            links = new if links is None else links.unionByName(new)
-            found = connected(links, scratch)
+            found = connected_numbers(new if found is None else new.union(found.select("node", "component")), scratch)
         # On with those that are not joined to the pivot, where there are two or more components of them.
         of_pivot = with_component(placed.select("key", F.col("pivot").alias("node")).distinct(), found).select("key", F.col("component").alias("done"))
         rest = with_component(placed.select("key", "node"), found).join(of_pivot, "key").where("component != done").drop("done")
@@ -342,7 +341,7 @@ def clusters(spark: SparkSession, docs: DataFrame, scratch: Scratch, percent: in
     links = block_links(reps, members, sets, found, scratch, percent)
     if found is not None:
         links = links.union(found.select(F.col("node").alias("u"), F.col("component").alias("v")))
-    return sketch, connected(links, scratch)
+    return sketch, connected_numbers(links, scratch)
 
 
 def digest(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> DataFrame:

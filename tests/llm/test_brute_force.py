@@ -221,6 +221,26 @@ def test_near_dedup_at_the_threshold(spark, monkeypatch):
     same(neardup.digest(spark, df), jaccard_components(rows))
 
 
+def test_near_dedup_settles_few_links_in_few_tasks(spark):
+    rows = near_family(3)
+    held = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("few-tasks", "near copies")
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        same(neardup.digest(spark, df), jaccard_components(rows))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    stages = {i for job in tracker.getJobIdsForGroup("few-tasks") for i in tracker.getJobInfo(job).stageIds}
+    tasks = sum(x.numCompletedTasks for i in stages if (x := tracker.getStageInfo(i)))
+    assert 0 < tasks < 1200  # 1,642 where all links go through joins
+
+
 def test_near_dedup_at_another_threshold(spark):
     frame = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     rows = [(r["doc_id"], r["text"] or "", None) for r in frame.collect()]

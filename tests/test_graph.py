@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph.operators import graph
+from quillgraph.operators import components, graph
 from quillgraph.scratch import Scratch
 
 
@@ -119,6 +119,18 @@ def test_components(spark):
     assert got == roots(pairs)
 
 
+@pytest.mark.parametrize("most", [1 << 20, 7])
+def test_components_of_numbers(spark, monkeypatch, most):
+    rng = random.Random(9)
+    pairs = {(rng.randrange(-400, 400), rng.randrange(-400, 400)) for _ in range(300)} | {(1000 + i, 1001 + i) for i in range(300)} | {(7, 7), (9000, 9000)}
+    monkeypatch.setattr(components, "LINKS_PER_TASK", most)
+    links = spark.createDataFrame(sorted(pairs), "u long, v long").repartition(3)
+    got = components.connected_numbers(links, Scratch(spark, "numbers")).collect()
+    want = roots({p for p in pairs if p[0] != p[1]})
+    assert len(got) == len(want) and {r["node"]: r["component"] for r in got} == want
+    assert components.connected_numbers(links.where("u = v"), Scratch(spark, "numbers")).isEmpty()
+
+
 def on_cycle(pairs):
     pairs = {tuple(sorted(p)) for p in pairs if p[0] != p[1]}
     out = set()
