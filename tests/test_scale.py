@@ -12,7 +12,7 @@ from quillgraph.scratch import Scratch
 from .test_relations import pairs, random_sets, rows
 
 SF = "/root/testdata/sf0.001"
-PAIRWISE = "cooccurrence_edges edges_by_kind".split()
+PAIRWISE = "cooccurrence_edges edges_by_kind graph_metrics".split()
 
 
 @pytest.fixture
