@@ -19,8 +19,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import Scratch
+from ..scratch import Scratch, grown
 from .components import connected
+from .cooccurrence import first_partners
 
 #: Pairs of notes that one task holds: about 100 bytes each for short names.
 EDGES_PER_TASK = 1 << 20
@@ -209,6 +210,27 @@ def _exchanged(edges: DataFrame, known: DataFrame, bound: int | None, scratch: S
     return known
 
 
+def reach_shared(adjacent: DataFrame, rows: DataFrame, seeds: DataFrame, scratch: Scratch) -> DataFrame:
+    """(note, depth, via) of a walk over (note, other) and over the notes of ``rows`` (see ``cooccurrence.coded``) that share terms.
+
+    Pairs that share terms are not made: a level looks for the first note of the level before that each note left shares terms with.
+    """
+    adjacent = scratch.save(adjacent, "adjacency")
+    level = scratch.save(seeds.select("note", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via")).distinct(), "level")
+    reached, left, depth = level, rows, 0
+    while not level.isEmpty():
+        depth += 1
+        at = level.select("note")
+        left = scratch.save(left.join(grown(at.withColumnRenamed("note", "note_id")), "note_id", "left_anti"), "left")
+        among = scratch.save(rows.join(grown(at.withColumnRenamed("note", "note_id")), "note_id").withColumn("place", F.col("note_id")), "among")
+        by_terms = first_partners(left, among, scratch).select(F.col("note_id").alias("note"), F.col("partner").alias("via"))
+        by_links = adjacent.join(grown(at), "note").select(F.col("other").alias("note"), F.col("note").alias("via"))
+        met = by_terms.unionByName(by_links.join(grown(reached.select("note")), "note", "left_anti"))
+        level = scratch.save(met.groupBy("note").agg(F.min("via").alias("via")).select("note", F.lit(depth).alias("depth"), "via"), "level")
+        reached = reached.unionByName(level)
+    return reached
+
+
 def _rounds(reached: DataFrame) -> int:
     return int(reached.agg(F.max("depth")).first()[0] or 0).bit_length()
 

@@ -242,7 +242,7 @@ def reach_all(spark, sf_dir):
     """The walk over edges of all kinds."""
     c = linked(spark, sf_dir)
     start = c.notes.where(X.note_name(F.col("note_id")) == "000000").select(F.col("note_id").alias("note"))
-    return graph.reach(c.adjacency(), start, None, c.scratch).reached
+    return graph.reach_shared(c.adjacency(links.LINK), c.coded, start, c.scratch)
 
 
 @query
