@@ -215,7 +215,7 @@ def adjacency_degree(spark, sf_dir):
 
 @query
 def stage_filter_link(spark, sf_dir):
-    return graph.of_kind(linked(spark, sf_dir).edges, links.LINK).orderBy("a", "b")
+    return linked(spark, sf_dir).stage(links.LINK).orderBy("a", "b")
 
 
 @query
