@@ -204,8 +204,7 @@ def unconnected_notes(spark, sf_dir):
 
 @query
 def unconnected_notes_all(spark, sf_dir):
-    c = plain(spark, sf_dir)
-    return graph.unconnected(c.notes, c.edges)
+    return plain(spark, sf_dir).unconnected()
 
 
 @query

@@ -12,7 +12,7 @@ from quillgraph.scratch import Scratch
 from .test_relations import pairs, random_sets, rows
 
 SF = "/root/testdata/sf0.001"
-PAIRWISE = "cooccurrence_edges edges_by_kind graph_metrics kind_shares reach_all refreshed_edges stage_filter_link related_notes subject_counts_all subject_listing_all subject_touches_all".split()
+PAIRWISE = "cooccurrence_edges edges_by_kind graph_metrics kind_shares reach_all refreshed_edges stage_filter_link related_notes subject_counts_all subject_listing_all subject_touches_all unconnected_notes_all".split()
 
 
 @pytest.fixture
