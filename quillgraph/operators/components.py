@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import Scratch
+from ..scratch import Scratch, grown
 
 #: Links between numbers that one task holds, 16 bytes each.
 LINKS_PER_TASK = 1 << 20
@@ -25,7 +25,7 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     """links: (u, v) with u > v. Each node's neighbours (larger ones, or smaller ones and itself) move to its least one."""
     both = links if not large else links.unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    joined = both.join(least, "u")
+    joined = both.join(grown(least), "u")
     moved = joined.where(F.col("v") > F.col("u")) if large else joined
     out = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v"))
     return (out if large else out.unionAll(least.select("u", F.col("m").alias("v")).where(F.col("u") != F.col("m")))).distinct()

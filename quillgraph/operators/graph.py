@@ -47,7 +47,7 @@ def note_set(notes: DataFrame, edges: DataFrame) -> DataFrame:
 def unconnected(notes: DataFrame, edges: DataFrame) -> DataFrame:
     """(note_id) of notes with no edge but to themselves."""
     ends = edges.where("a != b").select(F.explode(F.array("a", "b")).alias("note_id")).distinct()  # before the join, so that few rows are shuffled
-    return notes.select("note_id").join(ends, "note_id", "left_anti")
+    return notes.select("note_id").join(grown(ends), "note_id", "left_anti")
 
 
 def degrees(adjacent: DataFrame) -> DataFrame:
@@ -154,14 +154,14 @@ class Reach:
 
     def left_out(self, notes: DataFrame) -> DataFrame:
         """(note) of the given notes that were not reached."""
-        return notes.select("note").join(self.reached, "note", "left_anti")
+        return notes.select("note").join(grown(self.reached), "note", "left_anti")
 
     def truncated(self) -> DataFrame:
         """(truncated): whether a note at the bound has a neighbour that was not reached."""
         if self.bound is None:
             return self.reached.limit(0).agg(F.lit(False).alias("truncated"))
         edge = self.reached.where(F.col("depth") == self.bound).select("note")
-        beyond = edge.join(self.adjacent, "note").select(F.col("other").alias("note")).join(self.reached, "note", "left_anti")
+        beyond = edge.join(grown(self.adjacent), "note").select(F.col("other").alias("note")).join(grown(self.reached), "note", "left_anti")
         return beyond.agg((F.count("*") > 0).alias("truncated"))
 
 
@@ -181,7 +181,7 @@ def reach(adjacent: DataFrame, seeds: DataFrame, bound: int | None = None, scrat
         known = _exchanged(scratch.save(dealt, "parts"), scratch.save(start, "seeds"), bound, scratch)
     # The nearest of a note's neighbours is a step nearer than the note; seeds have none.
     at = lambda depth, via: F.struct(depth.alias("depth"), via.alias("via")).alias("x")
-    led = known.join(adjacent, "note").select(F.col("other").alias("note"), at(F.col("depth"), F.col("note")))
+    led = known.join(grown(adjacent), "note").select(F.col("other").alias("note"), at(F.col("depth"), F.col("note")))
     own = known.where("depth = 0").select("note", at(F.lit(-1), F.lit(None).cast("string")))
     found = led.unionByName(own).groupBy("note").agg(F.min("x").alias("x")).select("note", (F.col("x.depth") + 1).alias("depth"), "x.via")
     return Reach(scratch.save(found if bound is None else found.where(F.col("depth") <= bound), "reached"), adjacent, seeds, bound)
@@ -198,15 +198,15 @@ def _exchanged(edges: DataFrame, known: DataFrame, bound: int | None, scratch: S
     ends = edges.select("part", F.explode(F.array("note", "other")).alias("note")).distinct()
     ends = scratch.save(ends, "ends")
     several = ends.groupBy("note").agg(F.count("*").alias("n")).where("n > 1").select("note")
-    border = scratch.save(ends.join(several, "note"), "border")
-    start = scratch.save(ends.join(known, "note"), "start")  # seeds without an edge are known, and lead nowhere
+    border = scratch.save(ends.join(grown(several), "note"), "border")
+    start = scratch.save(ends.join(grown(known), "note"), "start")  # seeds without an edge are known, and lead nowhere
     while not start.isEmpty():
         active = edges.join(start.select("part").distinct(), "part", "left_semi")
         met = _walked(active, start, bound, scratch).groupBy("note").agg(F.min("depth").alias("depth"))
         was = known.select("note", F.col("depth").alias("was"))
-        fresh = scratch.save(met.join(was, "note", "left").where("was IS NULL OR depth < was").select("note", "depth"), "fresh")
+        fresh = scratch.save(met.join(grown(was), "note", "left").where("was IS NULL OR depth < was").select("note", "depth"), "fresh")
         known = scratch.save(known.unionByName(fresh).groupBy("note").agg(F.min("depth").alias("depth")), "known")
-        start = scratch.save(border.join(fresh, "note"), "start")
+        start = scratch.save(border.join(grown(fresh), "note"), "start")
     return known
 
 
@@ -243,7 +243,7 @@ def paths(found: Reach, scratch: Scratch) -> DataFrame:
     now = found.reached.select("note", "depth", F.col("via").alias("up"), F.array("note").alias("path"))
     for _ in range(_rounds(found.reached)):
         above = now.select(F.col("note").alias("up"), F.col("up").alias("next"), F.col("path").alias("head"))
-        longer = now.where("up IS NOT NULL").join(above, "up").select("note", "depth", F.col("next").alias("up"), F.concat("head", "path").alias("path"))
+        longer = now.where("up IS NOT NULL").join(grown(above), "up").select("note", "depth", F.col("next").alias("up"), F.concat("head", "path").alias("path"))
         now = scratch.save(now.where("up IS NULL").unionByName(longer), "paths")
     return now.select("note", "depth", "path")
 
@@ -282,9 +282,9 @@ def cycle_notes(adjacent: DataFrame, scratch: Scratch | None = None) -> DataFram
     adjacent, reached = tree.adjacent, tree.reached
     pairs = adjacent.where("note < other")
     of_tree = reached.where("via IS NOT NULL").select(F.least("note", "via").alias("note"), F.greatest("note", "via").alias("other"))
-    extra = scratch.save(pairs.join(of_tree, ["note", "other"], "left_anti"), "extra")
+    extra = scratch.save(pairs.join(grown(of_tree), ["note", "other"], "left_anti"), "extra")
     own = _labels(extra).groupBy("note").agg(F.bit_xor("x").alias("x"))
-    placed = reached.join(own, "note", "left").select("note", "depth", "via", F.coalesce("x", F.lit(0).cast("long")).alias("x"))
+    placed = reached.join(grown(own), "note", "left").select("note", "depth", "via", F.coalesce("x", F.lit(0).cast("long")).alias("x"))
     covered = _below(scratch.save(placed, "placed"), scratch).where("x != 0 AND via IS NOT NULL")
     ends = covered.select(F.explode(F.array("note", "via")).alias("note")).union(extra.select(F.explode(F.array("note", "other"))))
     return ends.distinct()
@@ -299,7 +299,7 @@ def _below(placed: DataFrame, scratch: Scratch) -> DataFrame:
     for _ in range(_rounds(placed)):
         more = now.where("up IS NOT NULL").groupBy(F.col("up").alias("note")).agg(F.bit_xor("x").alias("more"))
         above = now.select(F.col("note").alias("up"), F.col("up").alias("next"))
-        step = now.join(above, "up", "left").join(more, "note", "left")
+        step = now.join(grown(above), "up", "left").join(grown(more), "note", "left")
         now = scratch.save(step.select("note", "depth", "via", F.col("x").bitwiseXOR(F.coalesce("more", F.lit(0).cast("long"))).alias("x"), F.col("next").alias("up")), "below")
     return now.drop("up")
 

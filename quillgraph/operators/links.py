@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..scratch import grown
 
 LINK, COOCCURRENCE, SIMILARITY = "link", "cooccurrence", "similarity"
 
@@ -38,7 +39,7 @@ def resolved(links: DataFrame, ids: DataFrame) -> DataFrame:
     target = F.col("target")
     asked = links.withColumn("q", F.explode(F.array(ask(1, 1, target), ask(2, 1, sibling), ask(3, 2, sibling), ask(4, 2, target), ask(5, 3, target))))
     asked = asked.select("source", "target", "q.rank", "q.way", "q.key")
-    hits = asked.join(keys(ids), ["way", "key"], "left")
+    hits = asked.join(grown(keys(ids)), ["way", "key"], "left")
     best = F.min(F.when(F.col("note").isNotNull(), F.struct("rank", "note")))
     return hits.groupBy("source", "target").agg(best.alias("best")).select("source", "target", F.col("best.note").alias("note"))
 

@@ -41,6 +41,16 @@ def test_pairs_are_not_shuffled(spark):
     assert "Exchange" not in plan[: plan.index("MapInArrow")]
 
 
+def walked(name, spark, saved):
+    catalogue.QUERIES[name](spark, SF)
+    return [plan.split("== Physical Plan ==")[1] for _, _, _, plan in saved]
+
+
+@pytest.mark.parametrize("name", ["reach_unbounded", "reach_paths", "cycle_notes"])
+def test_walks_broadcast_no_notes(spark, saved, name):
+    assert not [p for p in walked(name, spark, saved) if "BroadcastHashJoin" in p]
+
+
 def side(sets, names, common):
     terms = sorted({t for s in sets.values() for t in s})
     bit = {t: k for k, t in enumerate(terms[:common])}
