@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stem
 from ..functions import text as X
+from ..scratch import Scratch, grown
 
 #: Fixed values of the ranking function.
 K1, B, FLOOR = 1.2, 0.75, 1e-6
@@ -39,22 +40,27 @@ def _mapped(words: DataFrame, normalise: bool) -> DataFrame:
     return words.select("term").distinct().select("term", key.alias("key"))
 
 
-def matches(body: DataFrame, asked: DataFrame, normalise: bool = False) -> DataFrame:
-    """(note_id, key, freq): how often a note holds each key that is asked for."""
+def matches(body: DataFrame, asked: DataFrame, normalise: bool = False, scratch: Scratch | None = None) -> DataFrame:
+    """(note_id, key, freq): how often a note holds each key that is asked for. With ``scratch`` the words of these keys are saved."""
     every = body.select("note_id", F.explode("tokens").alias("term"))
     if not normalise:
         wanted = asked.select("term").distinct()
         return every.join(wanted, "term", "left_semi").groupBy("note_id", F.col("term").alias("key")).agg(F.count("*").alias("freq"))
     wanted = _mapped(asked, True).select("key").distinct()
-    known = _mapped(every, True).join(wanted, "key", "left_semi")
+    known = _mapped(every, True).join(wanted, "key")  # no semi-join: that is pushed below the distinct words, and each token is stemmed
+    known = known if scratch is None else scratch.save(known, "known")
     return every.join(known, "term").groupBy("note_id", "key").agg(F.count("*").alias("freq"))
 
 
 def scored(body: DataFrame, asked: DataFrame, normalise: bool = False) -> DataFrame:
-    """(qid, note_id, score) of every note that holds a term of a query, score rounded to nine places."""
-    size = lengths(body)
+    """(qid, note_id, score) of every note that holds a term of a query, score rounded to nine places.
+
+    Lengths and matches are saved, so that bodies are read once for each.
+    """
+    scratch = Scratch(body.sparkSession, "search")
+    size = scratch.save(lengths(body), "lengths")
     stats = size.agg(F.count("*").alias("n"), F.avg("n_tokens").alias("mean"))
-    hits = matches(body, asked, normalise)
+    hits = scratch.save(matches(body, asked, normalise, scratch), "matches")
     held = hits.groupBy("key").agg(F.count("*").alias("held")).crossJoin(F.broadcast(stats.select("n")))
     idf = F.log((F.col("n") - F.col("held") + 0.5) / (F.col("held") + 0.5))
     weights = held.select("key", F.when(idf <= 0, FLOOR).otherwise(idf).alias("idf"))
@@ -84,11 +90,12 @@ def holding(body: DataFrame, candidates: DataFrame, asked: DataFrame, normalise:
 
     Only candidates meet the terms of their query, so a word that many queries and notes share costs no more than they do.
     """
-    wanted = candidates.join(asked.join(_mapped(asked, normalise), "term").select("qid", "key"), "qid")
+    asked = Scratch(body.sparkSession, "holding").save(asked.join(_mapped(asked, normalise), "term").select("qid", "key"), "asked")  # of known size, so that few words need not be met by a shuffle of all
+    wanted = candidates.join(grown(asked), "qid")
     every = body.select("note_id", F.explode(F.array_distinct("tokens")).alias("term"))
-    keys = wanted.select("key").distinct()
+    keys = asked.select("key").distinct()
     if normalise:
-        held = every.join(_mapped(every, True).join(keys, "key", "left_semi"), "term").select("note_id", "key")
+        held = every.join(_mapped(every, True).join(keys, "key"), "term").select("note_id", "key")
     else:
         held = every.withColumnRenamed("term", "key").join(keys, "key", "left_semi")
-    return wanted.join(held, ["note_id", "key"], "left_semi").select("qid", "note_id").distinct()
+    return wanted.join(grown(held), ["note_id", "key"], "left_semi").select("qid", "note_id").distinct()

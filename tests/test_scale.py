@@ -5,7 +5,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph.operators import cooccurrence
+from quillgraph.functions import stem
+from quillgraph.operators import cooccurrence, keyword
 from quillgraph.plans import catalogue
 from quillgraph.scratch import Scratch
 
@@ -51,6 +52,18 @@ def test_walks_broadcast_no_notes(spark, saved, name):
     assert not [p for p in walked(name, spark, saved) if "BroadcastHashJoin" in p]
 
 
+def test_distinct_words_are_stemmed(spark):
+    every = spark.createDataFrame([("a", "presses"), ("b", "press")], "note_id string, term string")
+    body = every.groupBy("note_id").agg(F.collect_list("term").alias("tokens"))
+    asked = spark.createDataFrame([(1, 0, "pressing")], "qid int, pos int, term string")
+    found = keyword.matches(body, asked, True)
+    assert {tuple(r) for r in found.collect()} == {("a", "press", 1), ("b", "press", 1)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    depth = [(i, line.index("ArrowEvalPython")) for i, line in enumerate(plan) if "ArrowEvalPython" in line]
+    assert depth and all(any("Aggregate [term" in below for below in plan[i + 1 : i + 4]) for i, _ in depth)  # never below what makes words distinct
+    assert stem.stem("pressing") == "press"
+
+
 def side(sets, names, common):
     terms = sorted({t for s in sets.values() for t in s})
     bit = {t: k for k, t in enumerate(terms[:common])}
