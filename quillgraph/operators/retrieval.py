@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..scratch import Scratch, grown
 
 PLACES, EVIDENCE, MIN_BEYOND = 9, 5, 2
 
@@ -23,10 +24,14 @@ def question_terms(questions: DataFrame, stop: DataFrame) -> DataFrame:
     return asked.join(F.broadcast(stop), "term", "left_anti").select("qid", "term")
 
 
-def shared(posted: DataFrame, asked: DataFrame, n_notes: DataFrame) -> DataFrame:
-    """(qid, note_id, term, idf): terms that a note shares with a question. Only the questions' terms are counted."""
+def shared(posted: DataFrame, asked: DataFrame, n_notes: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """(qid, note_id, term, idf): terms that a note shares with a question. Only the questions' terms are counted.
+
+    With ``scratch`` the postings of these terms are saved, and ``posted`` is read once.
+    """
     wanted = asked.select("term").distinct()
     hits = posted.join(wanted, "term", "left_semi")
+    hits = hits if scratch is None else scratch.save(hits, "hits")
     weights = hits.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n_notes))
     weighted = weights.select("term", F.log(F.col("n_notes") / F.col("df")).alias("idf"))
     return hits.join(weighted, "term").join(asked, "term").select("qid", "note_id", "term", "idf")
@@ -54,7 +59,7 @@ def leaders(found: DataFrame) -> DataFrame:
 def ordered(reached: DataFrame, found: DataFrame) -> DataFrame:
     """(note, depth, worth, is_seed) of one question's walk; what shares nothing is worth 0."""
     of = found.select(F.col("note_id").alias("note"), "worth", F.lit(True).alias("is_seed"))
-    out = reached.select("note", "depth").join(of, "note", "left")
+    out = reached.select("note", "depth").join(grown(of), "note", "left")
     return out.select("note", "depth", F.coalesce("worth", F.lit(0.0)).alias("worth"), F.coalesce("is_seed", F.lit(False)).alias("is_seed"))
 
 
@@ -86,9 +91,9 @@ def fork(questions: DataFrame, found: DataFrame, parts: DataFrame, min_beyond: i
     itself. ``parts`` is (note, component); a note without an edge is a component of its own.
     """
     sizes = parts.groupBy("component").agg(F.count("*").alias("size"))
-    of_seed = found.select("qid", F.col("note_id").alias("note")).join(parts, "note", "left")
+    of_seed = found.select("qid", F.col("note_id").alias("note")).join(grown(parts), "note", "left")
     touched = of_seed.groupBy("qid", F.coalesce("component", "note").alias("component")).agg(F.count("*").alias("here"))
-    reached = touched.join(sizes, "component", "left").groupBy("qid").agg(F.sum("here").alias("n_seeds"), F.sum(F.coalesce("size", F.lit(1))).alias("n_reached"))
+    reached = touched.join(grown(sizes), "component", "left").groupBy("qid").agg(F.sum("here").alias("n_seeds"), F.sum(F.coalesce("size", F.lit(1))).alias("n_reached"))
     out = questions.select("qid").join(reached, "qid", "left").select("qid", F.coalesce("n_seeds", F.lit(0)).alias("n_seeds"), F.coalesce("n_reached", F.lit(0)).alias("n_reached"))
     beyond = F.col("n_reached") - F.col("n_seeds")
     outcome = F.when(F.col("n_seeds") == 0, "absent").when(beyond == 0, "unconnected").when(beyond < min_beyond, "thin").otherwise("answerable")

@@ -300,7 +300,7 @@ def short_cycles(spark, sf_dir):
 
 def _seeds(c: Corpus, only=None) -> DataFrame:
     asked = retrieval.question_terms(fixtures.questions(c.notes.sparkSession, only), c.stop)
-    return retrieval.seeds(retrieval.shared(c.postings, asked, c.n_notes))
+    return retrieval.seeds(retrieval.shared(terms.postings(c.notes, c.stop, asked), asked, c.n_notes, c.scratch))
 
 
 @query

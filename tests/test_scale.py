@@ -52,6 +52,14 @@ def test_walks_broadcast_no_notes(spark, saved, name):
     assert not [p for p in walked(name, spark, saved) if "BroadcastHashJoin" in p]
 
 
+@pytest.mark.parametrize("name", ["question_seeds", "seeds_by_strongest", "seeds_agree", "refusal_fork", "evidence_topk", "withheld_notes", "grounding"])
+def test_seeds_read_texts_once_for_hits(spark, saved, name):
+    out = catalogue.QUERIES[name](spark, SF)
+    assert "text:string" not in out._jdf.queryExecution().executedPlan().toString()
+    words = [p for p in (plan.split("== Physical Plan ==")[1] for n, _, _, plan in saved if n in ("hits", "stop"))]
+    assert len(words) == 2 and all("SortMergeJoin" not in p for p in words)  # no postings or words are shuffled to meet the few that are asked for
+
+
 def test_distinct_words_are_stemmed(spark):
     every = spark.createDataFrame([("a", "presses"), ("b", "press")], "note_id string, term string")
     body = every.groupBy("note_id").agg(F.collect_list("term").alias("tokens"))
