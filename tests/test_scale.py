@@ -60,6 +60,13 @@ def test_seeds_read_texts_once_for_hits(spark, saved, name):
     assert len(words) == 2 and all("SortMergeJoin" not in p for p in words)  # no postings or words are shuffled to meet the few that are asked for
 
 
+@pytest.mark.parametrize("name", ["question_proposals", "first_proposals", "question_verdicts"])
+def test_questions_are_lifted_once(spark, saved, name):
+    out = catalogue.QUERIES[name](spark, SF)
+    assert [n for n, *_ in saved].count("lifted") == 1
+    assert name == "question_verdicts" or "text:string" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_distinct_words_are_stemmed(spark):
     every = spark.createDataFrame([("a", "presses"), ("b", "press")], "note_id string, term string")
     body = every.groupBy("note_id").agg(F.collect_list("term").alias("tokens"))
